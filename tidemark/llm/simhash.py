@@ -191,7 +191,7 @@ def link_shard(homes: np.ndarray, others: np.ndarray, reach: int, rows: int = 25
     return points[moved], points[root[moved]]
 
 
-def links(spark: SparkSession, nodes: DataFrame, reach: int = 3, sample_rows: int = 16384, leaf_rows: int = 2048, tile_rows: int = 16384) -> DataFrame:
+def links(spark: SparkSession, nodes: DataFrame, reach: int = 3, sample_rows: int = 16384, leaf_rows: int = 4096, tile_rows: int = 16384) -> DataFrame:
     """Spanning edges ``(u, v)`` over the distinct ``nodes(fp)``: every pair within ``reach`` bits is connected by them.
 
     ``sample_rows`` bounds the fingerprints that the driver sees to fit the routing tree, and at most a quarter of them
@@ -201,7 +201,7 @@ def links(spark: SparkSession, nodes: DataFrame, reach: int = 3, sample_rows: in
     share = min(0.25, sample_rows / max(1, count))
     picked = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20))).select("fp").collect()
     sample = np.array([r[0] for r in picked], np.int64).view(np.uint64)
-    rows = max(leaf_rows, int(4 * count**0.5))
+    rows = max(leaf_rows, int(12 * count**0.5))
     tree = build_tree(sample, max(4, int(rows * share)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
