@@ -278,5 +278,6 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts are those of the base spans; ``spans`` lists all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_spans(docs, fit(docs))
-    counts = [F.size(F.filter("pii_base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    of_kind = lambda i: F.size(F.filter("pii_base", lambda s: s["kind"] == i)).cast("long")
+    counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("pii_base")), 256).alias("base_sha256"), listed(F.col("pii_spans")).alias("spans"))

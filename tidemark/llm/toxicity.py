@@ -150,6 +150,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
 
     counts = rows.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     total = counts.where("f = ''").first()
+    if total is None:  # no labelled id has a document
+        return ToxicityModel(bias=-5.0)
     a, b = max(1, total["toxic"]), max(1, total["clean"])
     lift = F.log((F.col("toxic") + 0.5) / (a + 1.0)) - F.log((F.col("clean") + 0.5) / (b + 1.0))
     weight = lift * (F.col("toxic") / a - F.col("clean") / b)

@@ -1,7 +1,7 @@
 """URL filtering by explicit rules, else by empirical-Bayes host reputation.
 
 Labelled outcomes (a page is bad or not) are counted by host, registered domain and suffix. Counts are beta-binomial: a
-suffix is shrunk towards the whole, a domain towards its suffix, a host towards its domain, each by a prior whose strength
+suffix is shrunk towards the whole (which starts from a bad rate of a tenth, of five pages), a domain towards its suffix, a host towards its domain, each by a prior whose strength
 is the moment estimate of the overdispersion at that level. A host is blocked if the lower bound of its posterior bad rate
 is over ``most_bad``. Unlabelled hosts get what their domain, suffix or the whole says.
 
@@ -58,7 +58,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, most_bad: float = 0.3) ->
     """
     worst = outcomes.dropna().groupBy("page_id").agg(F.max("bad").cast("double").alias("bad"))
     per = pages.join(worst, "page_id", "left").groupBy("suffix", "domain", "host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("x"))
-    whole = F.broadcast(per.agg((F.sum("x") + 0.5).alias("gx"), (F.sum("n") + 1.0).alias("gn")))  # one row
+    whole = F.broadcast(per.agg((F.sum("x") + 0.5).alias("gx"), (F.sum("n") + 5.0).alias("gn")))  # one row
     keys: list[str] = []
     above = None
     for level in LEVELS:
@@ -111,7 +111,7 @@ with p as (
 ), per as (
   select suffix, domain, host, count(bad)::double n, coalesce(sum(bad), 0)::double x from r left join o using (page_id) group by all
 ), u1 as (
-  select suffix, sum(n) n, sum(x) x, (select (sum(x) + 0.5) / (sum(n) + 1) from per) prior from per group by 1
+  select suffix, sum(n) n, sum(x) x, (select (sum(x) + 0.5) / (sum(n) + 5) from per) prior from per group by 1
 ), m1 as (
   select least(greatest((1 - rho) / greatest(rho, 1e-9), 1), 1000) m from (
     select coalesce((sum((x - n * prior) ** 2) - sum(n * prior * (1 - prior))) / nullif(sum(n * prior * (1 - prior) * (n - 1)), 0), 0) rho from u1)
