@@ -411,9 +411,9 @@ def scores(spark, d, models=tuple(ev.MODELS)):
     return ev.scored(ev.common_windows(ev.all_forecasts(s, test_windows(s), TRAIN_END, H, models)), s, ev.train_scales(s, TRAIN_END))
 
 
-@query("select model, track, var, series_id, origin, lead, y, round(abs_err, 4) abs_err, round(sqrt(sq_err), 3) root_sq_err, round(crps, 4) crps, hit80, round(ase, 5) ase, round(scaled_crps, 5) scaled_crps from sc where lead in (1, 7, 30)")
+@query("select model, track, var, series_id, origin, lead, y, round(abs_err, 4) abs_err, round(sqrt(sq_err), 3) root_sq_err, round(crps, 4) crps, hit80, round(ase, 5) ase, round(scaled_crps, 5) scaled_crps from sc where lead in (1, 7, 30) and var = 'qty'")
 def h8_e1_e5_scores(spark, d):
-    s = scores(spark, d).where(F.col("lead").isin(1, 7, 30))
+    s = scores(spark, d).where(F.col("lead").isin(1, 7, 30)).where(WHOLE)
     return s.select("model", *KEYS, "origin", "lead", "y", F.round("abs_err", 4).alias("abs_err"), F.round(F.sqrt("sq_err"), 3).alias("root_sq_err"), F.round("crps", 4).alias("crps"), "hit80", F.round("ase", 5).alias("ase"), F.round("scaled_crps", 5).alias("scaled_crps"))
 
 
