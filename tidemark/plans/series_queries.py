@@ -16,6 +16,7 @@ from tidemark.operators import evaluation as ev
 from tidemark.operators import labels, panel
 from tidemark.operators.evaluation import Q
 from tidemark.sources import tracks
+from tidemark.session import kept
 from tidemark.sources.tracks import KEYS
 
 TRAIN_END = ev.SPLITS["train_end"]
@@ -406,9 +407,15 @@ def h7_scales(spark, d):
     return rounded(ev.train_scales(ship(spark, d), TRAIN_END))
 
 
-def scores(spark, d, models=tuple(ev.MODELS)):
-    s = ship(spark, d)
-    return ev.scored(ev.common_windows(ev.all_forecasts(s, test_windows(s), TRAIN_END, H, models)), s, ev.train_scales(s, TRAIN_END))
+def scores(spark, d):
+    """Scores of the three reference models, kept: windows times leads times models, which every report starts from."""
+
+    def build() -> DataFrame:
+        s = ship(spark, d)
+        w = kept(spark, ("windows", d), lambda: test_windows(s))
+        return ev.scored(ev.common_windows(ev.all_forecasts(s, w, TRAIN_END, H)), s, ev.train_scales(s, TRAIN_END))
+
+    return kept(spark, ("scores", d), build)
 
 
 @query("select model, track, var, series_id, origin, lead, y, round(abs_err, 4) abs_err, round(sqrt(sq_err), 3) root_sq_err, round(crps, 4) crps, hit80, round(ase, 5) ase, round(scaled_crps, 5) scaled_crps from sc where lead in (1, 7, 30) and var = 'qty'")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -17,6 +18,20 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def kept(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """A small frame that a study reads many times, kept by Spark for the life of the application.
+
+    Spark drops it to disk when short of memory and rebuilds parts that are lost with an executor.
+    """
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _kept:
+        _kept[full] = build().persist()
+    return _kept[full]
+
+
 def local(cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, for tests and the bench."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("tidemark")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
+from tidemark.session import kept
 
 KEYS = ["track", "var", "series_id"]
 
@@ -95,4 +96,5 @@ def densified(observed: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return densified(load_track(spark, sf_dir, name))
+    """A track on its calendar, kept: it has a row for each series and day, however large its source."""
+    return kept(spark, ("series", sf_dir, name), lambda: densified(load_track(spark, sf_dir, name)))
