@@ -100,13 +100,13 @@ def best(q: np.ndarray, v: np.ndarray, k: int) -> list[np.ndarray]:
 
 def search(
     spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, tables: int = 3, hashes: int = 6, width: float = 2.5, probes: int = 40,
-    bucket_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding",
+    bucket_rows: int = 8192, task_rows: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row that ``is_query`` (a column over ``vec_id``) its k nearest others."""
     rows = usable(vectors, id_col, vector_col)
     found = distinct_vectors(rows, k).withColumn("rep", F.element_at("ids", 1))
     reps = materialised(spark, found, "ann-vectors")
-    scale = reps.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"), F.max(F.size("v")).alias("dim")).first()
+    scale = reps.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"), F.max(F.size("v")).alias("dim"), F.count("*").alias("n")).first()
     kind = "query_id long, rank int, vec_id long, score double"
     if scale["norm"] is None:
         return spark.createDataFrame([], kind)
@@ -147,7 +147,10 @@ def search(
     entries = entries.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
     visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
     placed = entries.withColumn("asks", F.lit(False)).unionByName(visits.withColumn("asks", F.lit(True))).join(reps.select("rep", "v"), "rep")
-    dealt = placed.repartition("t", "bucket", "part").sortWithinPartitions("t", "bucket", "part", "asks", "rep")
+    # buckets are dealt over as many tasks as the entries need, since a query's best go on once from each task
+    tasks = max(8, -(-tables * scale["n"] // task_rows))
+    placed = placed.withColumn("task", F.pmod(F.xxhash64("t", "bucket", "part"), F.lit(tasks)))
+    dealt = placed.repartition("task").sortWithinPartitions("task", "t", "bucket", "part", "asks", "rep")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Exact scores inside each bucket; of a query the k + 1 best distinct vectors of all buckets in this task go on."""
