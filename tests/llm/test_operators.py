@@ -37,7 +37,7 @@ def test_toxicity_learns_sentences_from_document_labels(spark):
 
 
 def test_toxicity_scores_are_the_noisy_or_of_sentences():
-    model = toxicity.ToxicityModel(-3.0, {"bad": 5.0, "bad*": 0.0, "awfu*": 2.0})
+    model = toxicity.ToxicityModel(-3.0, {"bad": 5.0, "awfu*": 2.0})
     p = lambda z: 1 / (1 + np.exp(-z))
     score, found = model.score("A good day. You are BAD! Awfully so")
     assert score == pytest.approx(1 - (1 - p(-3)) * (1 - p(2)) * (1 - p(-1)))

@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: a document is toxic if at least one of its sentences is.
 
-A sentence has the logit ``bias + sum of the weights of its distinct features``; features are lower-cased words and
+A sentence has the logit ``bias + sum of the weights of its features``, repeats included; features are lower-cased words and
 their prefixes (inflected insults share them). A document's score is the noisy-or ``1 - prod(1 - p_sentence)``. Only
 document labels are known, so the gradient passes through the noisy-or to the sentences. The trained model then locates
 the sentences whose own probability is over the threshold.
@@ -28,7 +28,7 @@ from .common import table, whole_text
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 CACHE_ROWS = 250_000
 
 
@@ -37,8 +37,9 @@ def word_features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
 
 
-def sentence_features(sentence: str) -> set[str]:
-    return {f for w in {*WORD.findall(sentence.lower())} for f in word_features(w)}
+def sentence_features(sentence: str) -> list[str]:
+    """Features of a sentence, each as often as it occurs."""
+    return [f for w in WORD.findall(sentence.lower()) for f in word_features(w)]
 
 
 @dataclass
@@ -52,30 +53,23 @@ class ToxicityModel:
     def __getstate__(self) -> dict:
         return {"bias": self.bias, "weights": self.weights, "_memo": {}}
 
-    def _known(self, token: str) -> bool:
-        """Whether any word of a token between white space has a feature of the model."""
+    def _weight(self, token: str) -> float:
+        """Weights of all words of a token between white space; none is negative."""
         if len(self._memo) > CACHE_ROWS:
             self._memo.clear()
-        found = any(f in self.weights for w in WORD.findall(token.lower()) for f in word_features(w))
-        self._memo[token] = found
+        found = self._memo[token] = sum(self.weights.get(f, 0.0) for f in sentence_features(token))
         return found
 
     def score(self, text: str | None, threshold: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's probability, and (start, end, probability) of each sentence that is over the threshold."""
         text = text or ""
-        memo, known = self._memo, self._known
-        suspicious = False
-        for token in {*text.split()}:
-            hit = memo.get(token)
-            if known(token) if hit is None else hit:
-                suspicious = True
-                break
-        if not suspicious:
+        memo, weight = self._memo, self._weight
+        if not any((weight(t) if (w := memo.get(t)) is None else w) for t in {*text.split()}):
             n = len(SENTENCE.findall(text)) or 1
             return float(-np.expm1(-n * np.logaddexp(0, self.bias))), []
         clean, located = 0.0, []
         for m in SENTENCE.finditer(text):
-            z = self.bias + sum(self.weights.get(f, 0.0) for f in sentence_features(m[0]))
+            z = self.bias + sum(weight(t) if (w := memo.get(t)) is None else w for t in m[0].split())
             clean -= np.logaddexp(0, z)
             p = 1 / (1 + np.exp(-z))
             if p >= threshold:
@@ -83,8 +77,8 @@ class ToxicityModel:
         return float(-np.expm1(clean)), located
 
 
-def train(bags: list[tuple[int, int, list[list[int]]]], n_features: int, steps: int = 250, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Fit weights and bias by Adam on the noisy-or likelihood.
+def train(bags: list[tuple[int, int, list[list[int]]]], n_features: int, base_rate: float = 0.5, steps: int = 250, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Fit weights and bias by Adam on the noisy-or likelihood, with the classes weighted to ``base_rate``.
 
     A bag is (label, sentences without features, feature numbers of each other sentence).
     """
@@ -102,7 +96,7 @@ def train(bags: list[tuple[int, int, list[list[int]]]], n_features: int, steps:
     w[-1] = -5.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    share = np.where(y > 0, base_rate / max(1, y.sum()), (1 - base_rate) / max(1, (1 - y).sum()))
     for t in range(1, steps + 1):
         z = w[-1] + np.bincount(sent, weights=w[feat], minlength=n) if n else np.zeros(0)
         log_clean = -np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(y)) - plain * np.logaddexp(0, w[-1])
@@ -114,6 +108,7 @@ def train(bags: list[tuple[int, int, list[list[int]]]], n_features: int, steps:
         g[-1] = per.sum() + (pull * plain).sum() * sigmoid(w[-1])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        np.maximum(w[:-1], 0, out=w[:-1])  # features are those that toxic texts have more often
     return w[:-1], float(w[-1])
 
 
@@ -126,7 +121,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
         labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().where(~held_out("doc_id"))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    share = {r["toxic"]: min(1.0, max_rows / 2 / r["n"]) for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = {y: min(1.0, max_rows / 2 / n) for y, n in sizes.items()}
     if not {0, 1} <= share.keys():
         return ToxicityModel(bias=-5.0 if 1 not in share else 0.0)
     rank = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
@@ -140,7 +136,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs_seen[toxic > 0] += 1
-                for f in sentence_features(text):
+                for f in {*sentence_features(text)}:
                     seen[f][toxic > 0] += 1
         seen[""] = docs_seen
         keys = list(seen)
@@ -155,7 +151,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
     a, b = max(1, total["toxic"]), max(1, total["clean"])
     lift = F.log((F.col("toxic") + 0.5) / (a + 1.0)) - F.log((F.col("clean") + 0.5) / (b + 1.0))
     weight = lift * (F.col("toxic") / a - F.col("clean") / b)
-    best = counts.where((F.col("f") != "") & (F.col("toxic") + F.col("clean") >= 3) & (lift > 1)).orderBy(weight.desc(), "f").limit(max_features)
+    n = F.col("toxic") + F.col("clean")
+    term = lambda c, k: F.col(c) * F.log(F.greatest(F.col(c), F.lit(1)) * (a + b) / (n * k))
+    evidence = 2 * (term("toxic", a) + term("clean", b))  # likelihood ratio against no association
+    best = counts.where((F.col("f") != "") & (lift > 1) & (evidence > 12)).orderBy(weight.desc(), "f").limit(max_features)
     number = {r["f"]: i for i, r in enumerate(best.select("f").collect())}
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +168,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(plain, pa.int32()), pa.array(features, pa.list_(pa.list_(pa.int32())))], names=["toxic", "plain", "features"])
 
     bags = [tuple(r) for r in rows.mapInArrow(bag, "toxic int, plain int, features array<array<int>>").collect()]
-    weights, bias = train(sorted(bags), len(number))
+    weights, bias = train(sorted(bags), len(number), sizes[1] / (sizes[0] + sizes[1]))
     return ToxicityModel(bias, {f: float(weights[i]) for f, i in number.items()})
 
 
