@@ -430,3 +430,37 @@ def r7_best_context(spark, d):
 def r6_cost(spark, d):
     s = tracks.table(spark, d, "supplier")
     return s.groupBy("s_nationkey").agg(F.count("*").alias("runs"), F.round(F.max("s_acctbal"), 2).alias("peak"), F.round(F.count("*") / F.sum(F.abs("s_acctbal")), 9).alias("per_second"))
+
+
+@query("select var, lead, " + ", ".join(f"round(max(case when model = '{m}' then scrps end), 5) {m}" for m in ev.MODELS) + " from board where lead in (1, 7, 30) group by var, lead")
+def r18_table_view(spark, d):
+    b = ev.board(scores(spark, d).where(F.col("lead").isin(1, 7, 30)), ["var", "lead", "model"])
+    return rounded(b.groupBy("var", "lead").pivot("model", list(ev.MODELS)).agg(F.first("sCRPS")))
+
+
+@query(f"""select a.lead, round((a.ps - b.ps) - (a.sn - b.sn), 6) did, round(1 - c.ps / c.cl, 6) crpss from {SKILLS} a join {SKILLS} b on a.lead = b.lead and a.grp = 'R' and b.grp = 'A'
+  join (select lead, avg(case when model = 'persistence' then scaled_crps end) ps, avg(case when model = 'climatology' then scaled_crps end) cl from sc where lead in (1, 7, 30) group by lead) c on c.lead = a.lead""")
+def r19_did_joined(spark, d):
+    mean = lambda m: F.avg(F.when(F.col("model") == m, F.col("scaled_crps")))
+    whole = scores(spark, d).where(F.col("lead").isin(1, 7, 30)).groupBy("lead").agg(F.round(num.skill(mean("persistence"), mean("climatology")), 6).alias("crpss"))
+    return t10_r5_did(spark, d).join(whole, "lead")
+
+
+@query("""select model, round(avg(scaled_crps), 5) "sCRPS", 0 violations from sc where model = 'climatology' group by model""")
+def r21_gate_then_score(spark, d):
+    """The score of a forecast next to the number of its rule violations."""
+    s = ship(spark, d)
+    w = sq.test_windows(s)
+    gate = ev.integrity(ev.climatology(s, w, TRAIN_END, sq.H), w, sq.H).agg(F.sum("violations").cast("int").alias("violations"))
+    board = scores(spark, d).where("model = 'climatology'").groupBy("model").agg(F.round(F.avg("scaled_crps"), 5).alias("sCRPS"))
+    return board.crossJoin(gate)  # one row each
+
+
+@query(f"""select series_id, round(avg(abs(y - p)), 7) mae, round(sqrt(avg((y - p) ** 2)), 7) rmse, round(avg(abs(y - p)) / nullif(avg(abs(y - s)), 0), 7) mase, round(avg(coalesce((y between p - 50 and p + 50)::int, 0)), 7) coverage
+  from (select series_id, y, lag(y, 1) over w p, lag(y, 365) over w s from ship where var = 'qty' window w as (partition by series_id order by date)) group by series_id""")
+def e6_metrics(spark, d):
+    w = Window.partitionBy("series_id").orderBy("date")
+    x = ship(spark, d).where(WHOLE).select("series_id", "y", F.lag("y", 1).over(w).alias("p"), F.lag("y", 365).over(w).alias("s"))
+    y, p, s = F.col("y"), F.col("p"), F.col("s")
+    out = x.groupBy("series_id").agg(F.avg(F.abs(y - p)).alias("mae"), F.sqrt(F.avg((y - p) ** 2)).alias("rmse"), F.try_divide(F.avg(F.abs(y - p)), F.avg(F.abs(y - s))).alias("mase"), F.avg(num.covered(y, p - 50, p + 50)).alias("coverage"))
+    return rounded(out, 7)
