@@ -446,6 +446,17 @@ def test_bundle_is_plain_zstandard():
     assert [n for _, _, n in warc.frames_of(data)] == [3, 300]
 
 
+def test_frames_hold_several_records(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * (4000 if i == 5 else 3)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    bundles = warc.write_bundles(warc.marked(pages).coalesce(1), frame_bytes=2000).cache()
+    index = [p for r in bundles.collect() for p in r["index"]]
+    assert any(p["inside"] > 0 for p in index) and len({p["frame"] for p in index}) > 2
+    got = {r["page_id"]: bytes(r["record"]) for r in warc.fetch(bundles, pages.select("page_id")).collect()}
+    assert {i: warc.parse(r)[1].decode() for i, r in got.items()} == {r["page_id"]: r["html"] for r in pages.collect()}
+    assert all(warc.parse(r)[2] == len(r) for r in got.values())
+    assert warc.read_bundles(bundles).count() == 40
+
+
 # --- pipeline
 
 

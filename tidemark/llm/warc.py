@@ -1,9 +1,10 @@
 """WARC records in seekable Zstandard bundles.
 
-Each record is compressed as one independent frame. A bundle ends in a skippable frame with the seek table (compressed
-and decompressed size of every frame, then the frame count, a descriptor byte and the format's magic number), as any
-reader of the seekable format expects. Its index maps a record's identifier to the frame's number, the frame's offset in
-the bundle and the record's offset in the frame.
+Records are grouped into independent frames of about ``frame_bytes``; a record is never cut, so a longer one has a frame
+of its own. A bundle ends in a skippable frame with the seek table (compressed and decompressed size of every frame, then
+the frame count, a descriptor byte and the format's magic number), as any reader of the seekable format expects. Its
+index maps a record's identifier to the frame's number, the frame's offset in the bundle and the record's offset in the
+decompressed frame.
 
 Of records with equal payloads the one with the smallest id is the response, the others are revisits that refer to it
 and carry no payload. The smallest id of each payload is found by a map-side combined aggregation over digests.
@@ -31,6 +32,7 @@ from .common import materialised, shared_dir, table
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 BUNDLE_BYTES = 4 << 20
+FRAME_BYTES = 64 << 10
 EPOCH = "1970-01-01T00:00:00Z"
 
 
@@ -54,26 +56,40 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
     return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and body of the record that ``data`` begins with."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
+def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Headers and body of the record that begins at ``at``, and where it ends."""
+    body = data.index(b"\r\n\r\n", at) + 4
+    lines = data[at : body - 4].decode("utf-8").split("\r\n")
     if lines[0] != "WARC/1.1":
         raise ValueError(f"not a WARC record: {lines[0]!r}")
     fields = dict(x.split(": ", 1) for x in lines[1:])
-    n = int(fields["Content-Length"])
-    if rest[n : n + 4] != b"\r\n\r\n":
+    end = body + int(fields["Content-Length"])
+    if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("a WARC record is cut short")
-    return fields, rest[:n]
+    return fields, data[body:end], end + 4
 
 
-def pack(records: list[bytes], level: int = 3) -> bytes:
-    """A bundle with a frame for each record and the seek table."""
+def grouped(records: list[bytes], frame_bytes: int = FRAME_BYTES) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """The contents of the frames that hold the records, and each record's frame and its offset in it."""
+    frames: list[list[bytes]] = []
+    places, size = [], 0
+    for r in records:
+        if not frames or size + len(r) > frame_bytes:
+            frames.append([])
+            size = 0
+        places.append((len(frames) - 1, size))
+        frames[-1].append(r)
+        size += len(r)
+    return [b"".join(f) for f in frames], places
+
+
+def pack(contents: list[bytes], level: int = 3) -> bytes:
+    """A bundle with a frame for each of ``contents`` and the seek table."""
     import zstandard
 
     coder = zstandard.ZstdCompressor(level=level, write_content_size=True)
-    frames = [coder.compress(r) for r in records]
-    entries = b"".join(struct.pack("<II", len(f), len(r)) for f, r in zip(frames, records))
+    frames = [coder.compress(c) for c in contents]
+    entries = b"".join(struct.pack("<II", len(f), len(c)) for f, c in zip(frames, contents))
     footer = struct.pack("<IBI", len(frames), 0, SEEKABLE)
     return b"".join(frames) + struct.pack("<II", SKIPPABLE, len(entries) + len(footer)) + entries + footer
 
@@ -110,15 +126,17 @@ def marked(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return rows.join(first, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
 
 
-def write_bundles(records: DataFrame, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+def write_bundles(records: DataFrame, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """``(bundle, index array<struct<page_id, frame, offset, inside>>)``: about ``bundle_bytes`` of records in each bundle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, size = [], [], 0
 
         def done() -> pa.RecordBatch:
-            data = pack(held)
-            index = [{"page_id": i, "frame": n, "offset": at, "inside": 0} for n, (i, (at, _, _)) in enumerate(zip(ids, frames_of(data)))]
+            contents, places = grouped(held, frame_bytes)
+            data = pack(contents)
+            frames = frames_of(data)
+            index = [{"page_id": i, "frame": n, "offset": frames[n][0], "inside": inside} for i, (n, inside) in zip(ids, places)]
             kind = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("inside", pa.int64())]))
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([index], kind)], names=["bundle", "index"])
 
@@ -146,11 +164,13 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                 bundle, rows = cell.as_py(), []
                 frames = frames_of(bundle)
                 for n, (at, packed, _) in enumerate(frames):
-                    head, body = parse(read_frame(bundle, at, packed))
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if head["WARC-Type"] == "response" and digest_of(body) != digest:
-                        raise ValueError(f"payload of {head['WARC-Record-ID']} doesn't fit its digest")
-                    rows.append((number(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], int(head["X-Payload-Length"]), digest, number(head.get("WARC-Refers-To")), body))
+                    frame, end = read_frame(bundle, at, packed), 0
+                    while end < len(frame):
+                        head, body, end = parse(frame, end)
+                        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                        if head["WARC-Type"] == "response" and digest_of(body) != digest:
+                            raise ValueError(f"payload of {head['WARC-Record-ID']} doesn't fit its digest")
+                        rows.append((number(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], int(head["X-Payload-Length"]), digest, number(head.get("WARC-Refers-To")), body))
                     if len(rows) >= 256 or n == len(frames) - 1:
                         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
                         names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "body"]
@@ -168,7 +188,11 @@ def fetch(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
             for cell, places in zip(batch.column(0), batch.column(1)):
                 bundle = cell.as_py()
                 frames = frames_of(bundle)
-                found = [(p["page_id"], read_frame(bundle, p["offset"], frames[p["frame"]][1])[p["inside"] :]) for p in places.as_py()]
+                found, now, frame = [], None, b""
+                for p in sorted(places.as_py(), key=lambda p: (p["frame"], p["inside"])):
+                    if p["frame"] != now:
+                        now, frame = p["frame"], read_frame(bundle, p["offset"], frames[p["frame"]][1])
+                    found.append((p["page_id"], frame[p["inside"] : parse(frame, p["inside"])[2]]))
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([r for _, r in found], pa.binary())], names=["page_id", "record"])
 
     keyed = bundles.withColumn("key", F.sha2("bundle", 256))
