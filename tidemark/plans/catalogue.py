@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation as ev
-from tidemark.plans import idioms, series_queries, study_queries
+from tidemark.plans import idioms, series_queries, source_queries, study_queries
 from tidemark.sources import tracks
 
-QUERIES = {**idioms.QUERIES, **series_queries.QUERIES, **study_queries.QUERIES}
-ORACLE_SQL = {**idioms.ORACLE_SQL, **series_queries.ORACLE_SQL, **study_queries.ORACLE_SQL}
+QUERIES = {**idioms.QUERIES, **series_queries.QUERIES, **study_queries.QUERIES, **source_queries.QUERIES}
+ORACLE_SQL = {**idioms.ORACLE_SQL, **series_queries.ORACLE_SQL, **study_queries.ORACLE_SQL, **source_queries.ORACLE_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str, horizon: int = 7) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -18,6 +19,15 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; a temporary one only where none is named."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 _kept: dict[tuple, DataFrame] = {}
 
 

@@ -78,7 +78,8 @@ def year_day(spark: SparkSession, path: str, variables: list[str], missing: floa
 def keyed_by_name(spark: SparkSession, glob: str, pattern: str, schema: str) -> DataFrame:
     """All CSV files of a glob, with the key that a pattern's first group finds in each file's name."""
     rows = spark.read.csv(glob, header=True, schema=schema)
-    return rows.select(F.regexp_extract("_metadata.file_name", pattern, 1).alias("key"), *rows.columns)
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))  # Spark gives it as part of a URI
+    return rows.select(F.regexp_extract(name, pattern, 1).alias("key"), *rows.columns)
 
 
 def monthly_table(spark: SparkSession, path: str, missing_to: float = -99.0) -> DataFrame:
@@ -136,6 +137,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def only_file(spark: SparkSession, folder: str, to: str) -> None:
+    """Move the one data file that Spark wrote into ``folder`` to a name of one's own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path(to).getParent())
+    (part,) = [f.getPath() for f in store.listStatus(path(folder)) if f.getPath().getName().startswith("part-")]
+    if not store.rename(part, path(to)):
+        raise OSError(f"cannot move {part.toString()} to {to}")
+
+
 def write_once(spark: SparkSession, frame: DataFrame, root: str, split: str, model: str, track: str, var: str) -> bool:
     """Write a forecast cache below ``root/split=/model=/track=/var=`` unless it is complete there; whether it wrote."""
     path = f"{root}/split={split}/model={model}/track={track}/var={var}"
