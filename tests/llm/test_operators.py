@@ -125,6 +125,27 @@ def test_neighbours_defined_cases(spark):
     assert ann.search(spark, frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_uneven_norms_and_tiny_tables(spark):
+    rng = np.random.default_rng(5)
+    kind = "vec_id long, embedding array<double>"
+    x = rng.normal(size=(1200, 24))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * rng.choice([1.0, 0.4, 3.0], 1200)[:, None]
+    x[7] *= 60
+    vectors = dict(enumerate(x))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], kind)
+    for small_rows, probes in ((64, 40), (0, 1)):  # one probe each finds too few for many queries
+        got = {}
+        for r in ann.search(spark, frame, F.col("vec_id") % 20 == 0, small_rows=small_rows, probes=probes).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert set(got) == set(range(0, 1200, 20)) and all(len(g) == 20 for g in got.values())
+        if probes == 40:
+            assert np.mean([len(g & {i for _, i in near(vectors, q, 20)}) / 20 for q, g in got.items()]) >= 0.9
+    tiny = spark.createDataFrame([(i, (x[i] * 10.0 ** (2 * i)).tolist()) for i in range(5)], kind)
+    for small_rows in (0, 1024):
+        out = ann.search(spark, tiny, F.col("vec_id") >= 0, small_rows=small_rows, probes=1).collect()
+        assert sorted((r["query_id"], r["vec_id"]) for r in out) == [(i, j) for i in range(5) for j in range(5) if i != j]
+
+
 # --- op4
 
 PLAIN = {

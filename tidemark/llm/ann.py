@@ -1,19 +1,21 @@
 """Approximate nearest neighbours by inner product with multiprobe p-stable hashing.
 
-Inner product becomes Euclidean nearness by scaling vectors with the largest norm and adding the coordinate that fills
-them up to norm one; queries have zero there. Each table cuts ``hashes`` Gaussian projections into cells of ``width``.
-Every vector is indexed in each table. A query visits its own bucket and then perturbed ones, in the order of estimated
+Vectors are parted into bands of like norm. Inside a band, inner product becomes Euclidean nearness by scaling vectors with
+the band's largest norm and adding the coordinate that fills them up to norm one; queries have zero there. Each table cuts
+``hashes`` Gaussian projections into cells of ``width``. Every vector is indexed in each table of its band, and a query probes
+all bands; a band of ``small_rows`` vectors or fewer is a single bucket that every query visits. A query visits its own bucket and then perturbed ones, in the order of estimated
 success: the expected squared distances to the crossed cell borders, ranked as if the distances were order statistics.
 A bucket's candidates are scored exactly on the original vectors in double precision, and the tables' candidates merge
 by query.
 
 Equal vectors are one candidate that carries its smallest ids, as many as an answer can hold, so a vector shared by a
 third of the rows is a single entry; nothing is lost as equal vectors tie and the smaller id comes first. Buckets over
-``bucket_rows`` are dealt over several parts, each of which the queries visit.
+``bucket_rows`` are dealt over several parts, each of which the queries visit. Queries whose probes find fewer candidates than an
+answer holds are searched again, exactly: all vectors are then one bucket, in parts.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, as query or candidate;
 vectors of another length than the most frequent one neither; null ids neither; rows that repeat a vector's id count once;
-with fewer candidates than ``k`` all are returned, if a probe finds them. Other columns are not looked at.
+with fewer candidates than ``k`` all are returned. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -100,17 +102,24 @@ def best(q: np.ndarray, v: np.ndarray, k: int) -> list[np.ndarray]:
 
 def search(
     spark: SparkSession, vectors: DataFrame, is_query, k: int = 20, tables: int = 3, hashes: int = 6, width: float = 2.5, probes: int = 40,
-    bucket_rows: int = 8192, task_rows: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding",
+    bucket_rows: int = 8192, task_rows: int = 20_000, small_rows: int = 1024, band: float = 1.25, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row that ``is_query`` (a column over ``vec_id``) its k nearest others."""
     rows = usable(vectors, id_col, vector_col)
-    found = distinct_vectors(rows, k).withColumn("rep", F.element_at("ids", 1))
+    most = F.array_max(F.transform("v", F.abs))
+    norm = F.least(most * F.sqrt(F.aggregate(F.transform("v", lambda x: x / most), F.lit(0.0), lambda a, x: a + x * x)), F.lit(1.7e308))
+    found = distinct_vectors(rows, k).withColumn("rep", F.element_at("ids", 1)).withColumn("norm", norm)
     reps = materialised(spark, found, "ann-vectors")
-    scale = reps.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"), F.max(F.size("v")).alias("dim"), F.count("*").alias("n")).first()
+    scale = reps.agg(F.max("norm").alias("norm"), F.max(F.size("v")).alias("dim"), F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).first()
     kind = "query_id long, rank int, vec_id long, score double"
     if scale["norm"] is None:
         return spark.createDataFrame([], kind)
-    norm, hashed = float(scale["norm"]), Tables(scale["dim"], tables, hashes, width, probes)
+    hashed = Tables(scale["dim"], tables, hashes, width, probes)
+    # logarithms of the norm, so the bands of all doubles are some thousands at most; the little offset keeps equal norms together
+    reps = reps.withColumn("band", F.floor((F.log(F.lit(float(scale["norm"]))) - F.log("norm") + 1e-6) / float(np.log(band))).cast("int"))
+    bands = {r["band"]: (float(r["norm"]), r["n"]) for r in reps.groupBy("band").agg(F.max("norm").alias("norm"), F.count("*").alias("n")).collect()}
+    small = [i for i, (_, n) in bands.items() if n <= small_rows]
+    wide = [i for i in bands if i not in set(small)]
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").distinct().join(reps.select("v", "rep"), "v").select("query_id", "rep")
     asked = materialised(spark, asked, "ann-queries")
     # a distinct vector asks once, however many queries share it
@@ -121,36 +130,31 @@ def search(
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = matrix(batch.column(1))
-            x = v / norm
+            v, of = matrix(batch.column(1)), batch.column(2).to_numpy()
+            x = v / np.array([bands[i][0] for i in of.tolist()]).reshape(-1, 1)
             x = np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))], 1)
+            one = np.isin(of, small)
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - of[one], pa.int32()), pa.array(np.zeros(one.sum(), np.int64)), batch.column(0).filter(pa.array(one))], names=["t", "bucket", "rep"])
+            rest = batch.column(0).filter(pa.array(~one))
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(hashed.keys(x, t)), batch.column(0)], names=["t", "bucket", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(of[~one] * tables + t, pa.int32()), pa.array(hashed.keys(x[~one], t)), rest], names=["t", "bucket", "rep"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = matrix(batch.column(1))
-            x = v / np.sqrt((v * v).sum(1, keepdims=True))
+            x = v / np.abs(v).max(1, initial=0, keepdims=True)
+            x = x / np.sqrt((x * x).sum(1, keepdims=True))
             x = np.concatenate([x, np.zeros((len(x), 1))], 1)
-            for t in range(tables):
+            for i in small:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), -1 - i, np.int32)), pa.array(np.zeros(len(v), np.int64)), batch.column(0)], names=["t", "bucket", "rep"])
+            for t in range(tables if wide else 0):
                 keys = hashed.probes(x, t)
-                at = np.repeat(np.arange(len(v)), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(keys.ravel()), batch.column(0).take(pa.array(at))], names=["t", "bucket", "rep"])
+                at = pa.array(np.repeat(np.arange(len(v)), keys.shape[1]))
+                for i in wide:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i * tables + t, np.int32)), pa.array(keys.ravel()), batch.column(0).take(at)], names=["t", "bucket", "rep"])
 
-    entries = reps.select("rep", "v").mapInArrow(index, "t int, bucket long, rep long")
+    entries = reps.select("rep", "v", "band").mapInArrow(index, "t int, bucket long, rep long")
     visits = asking.select("rep", "v").mapInArrow(probe, "t int, bucket long, rep long").distinct()
-    # buckets over the limit: at most tables * rows / bucket_rows of them
-    large = entries.groupBy("t", "bucket").count().where(F.col("count") > bucket_rows).collect()
-    parts = F.lit(1)
-    if large:
-        parts = F.coalesce(F.element_at(F.create_map(*[x for r in large for x in (F.lit(f"{r['t']}:{r['bucket']}"), F.lit(-(-r["count"] // bucket_rows)))]), F.concat_ws(":", "t", "bucket")), F.lit(1))
-    entries = entries.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
-    placed = entries.withColumn("asks", F.lit(False)).unionByName(visits.withColumn("asks", F.lit(True))).join(reps.select("rep", "v"), "rep")
-    # buckets are dealt over as many tasks as the entries need, since a query's best go on once from each task
-    tasks = max(8, -(-tables * scale["n"] // task_rows))
-    placed = placed.withColumn("task", F.pmod(F.xxhash64("t", "bucket", "part"), F.lit(tasks)))
-    dealt = placed.repartition("task").sortWithinPartitions("task", "t", "bucket", "part", "asks", "rep")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Exact scores inside each bucket; of a query the k + 1 best distinct vectors of all buckets in this task go on."""
@@ -201,16 +205,42 @@ def search(
                 if sum(map(len, ask)) > 4096:  # the bucket's own rows come first
                     meet()
                     ask, ask_v = [], []
+                    if len(kept) > 8192:
+                        yield from flush()
         meet()
         yield from flush()
 
-    scored = dealt.select("t", "bucket", "part", "asks", "rep", "v").mapInArrow(rerank, "query long, rep long, score double").distinct()
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    merged = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).join(reps.select("rep", "ids"), "rep")
-    answers = merged.groupBy("query").agg(F.collect_list(F.struct((-F.col("score")).alias("minus"), "ids")).alias("near"))
-    # each vector's ids, nearest first and ties to the smaller id
-    flat = F.sort_array(F.flatten(F.transform("near", lambda n: F.transform(n["ids"], lambda i: F.struct(n["minus"].alias("minus"), i.alias("vec_id"))))))
-    answers = answers.select("query", F.slice(flat, 1, k + 1).alias("near"))
+    def answered(entries: DataFrame, visits: DataFrame) -> DataFrame:
+        """``(query, near)``: of each visiting vector the best ids in all the buckets it visits."""
+        # buckets over the limit: at most tables * rows / bucket_rows of them
+        large = entries.groupBy("t", "bucket").count().where(F.col("count") > bucket_rows).collect()
+        parts = F.lit(1)
+        if large:
+            parts = F.coalesce(F.element_at(F.create_map(*[x for r in large for x in (F.lit(f"{r['t']}:{r['bucket']}"), F.lit(-(-r["count"] // bucket_rows)))]), F.concat_ws(":", "t", "bucket")), F.lit(1))
+        entries = entries.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+        visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+        placed = entries.withColumn("asks", F.lit(False)).unionByName(visits.withColumn("asks", F.lit(True))).join(reps.select("rep", "v"), "rep")
+        # buckets are dealt over as many tasks as the entries need, since a query's best go on once from each task
+        tasks = max(8, -(-tables * scale["n"] // task_rows))
+        placed = placed.withColumn("task", F.pmod(F.xxhash64("t", "bucket", "part"), F.lit(tasks)))
+        dealt = placed.repartition("task").sortWithinPartitions("task", "t", "bucket", "part", "asks", "rep")
+
+        scored = dealt.select("t", "bucket", "part", "asks", "rep", "v").mapInArrow(rerank, "query long, rep long, score double").distinct()
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
+        merged = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).join(reps.select("rep", "ids"), "rep")
+        answers = merged.groupBy("query").agg(F.collect_list(F.struct((-F.col("score")).alias("minus"), "ids")).alias("near"))
+        # each vector's ids, nearest first and ties to the smaller id
+        flat = F.sort_array(F.flatten(F.transform("near", lambda n: F.transform(n["ids"], lambda i: F.struct(n["minus"].alias("minus"), i.alias("vec_id"))))))
+        return answers.select("query", F.slice(flat, 1, k + 1).alias("near"))
+
+    answers = materialised(spark, answered(entries, visits), "ann-answers")
+    whole = min(k + 1, scale["ids"])
+    short = asking.select("rep").join(answers.where(F.size("near") >= whole), F.col("rep") == F.col("query"), "left_anti")
+    short = materialised(spark, short, "ann-short")
+    if short.limit(1).count():
+        one = [F.lit(0).alias("t"), F.lit(0).cast("long").alias("bucket"), "rep"]
+        exact = answered(reps.select(*one), short.select(*one))
+        answers = answers.where(F.size("near") >= whole).unionByName(exact)
     given = asked.join(answers, asked["rep"] == answers["query"])
     others = F.slice(F.filter("near", lambda n: n["vec_id"] != F.col("query_id")), 1, k)
     return given.select("query_id", F.posexplode(others).alias("rank", "n")).select(
