@@ -23,12 +23,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("score < 0.5").withColumnRenamed("body", "text").select(*COLUMNS)
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents with a number of their own for each row, and the order in which rows are preferred."""
+    rows = materialised(spark, docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return rows.withColumn("order", F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", F.xxhash64(*COLUMNS).alias("digest"), "row"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row with the smallest id of each group of linked fingerprints; rows with a null id stay."""
-    groups = simhash.near_duplicates(spark, docs)
-    first = groups.where("doc_id = component_id").select("doc_id", "fingerprint").groupBy("doc_id").agg(F.min("fingerprint"))
-    kept = docs.select(*COLUMNS).join(first.select("doc_id"), "doc_id", "left_semi")
-    return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    """Keep one row of each group of linked fingerprints, the one with the smallest id; a null id comes last."""
+    rows = numbered(spark, docs)
+    groups = simhash.near_duplicates(spark, rows, "row").select(F.col("doc_id").alias("row"), "component_id")
+    first = groups.join(rows.select("row", "order"), "row").groupBy("component_id").agg(F.min("order").alias("first"))
+    return rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -509,5 +509,15 @@ def test_pipeline_defined_cases(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_repeated_ids_and_null_ids(spark):
+    import corpus_pipeline as cp
+
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma"))
+    rows = [(1, one)] * 5 + [(1, two), (2, two), (None, two), (None, three), (None, three), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC)
+    for stage in {cp.drop_near_duplicates, dict(cp.STAGES)["near_duplicates"]}:
+        assert sorted((r["text"], r["doc_id"]) for r in stage(spark, docs, SF).collect()) == [(one, 1), (two, 1), (three, None)]
+
+
 def test_detector_prints_as_json():
     assert json.loads(repr(pii.Detector([(0, 1.0, 0.1, -0.1)], {"ip": 0.2})))["thresholds"] == {"ip": 0.2}
