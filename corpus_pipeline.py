@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, pii, simhash, toxicity
+from tidemark.llm import bpe, copies, mixing, pii, simhash, toxicity
 from tidemark.llm.common import materialised, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,13 +30,22 @@ def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of linked fingerprints, the one with the smallest id; a null id comes last."""
+    """Keep one row of each group of linked fingerprints by op8's rule, the one with the smallest id; a null id comes last.
+
+    This finds close copies only, so the pipeline's stage is ``drop_copies``.
+    """
     rows = numbered(spark, docs)
     groups = simhash.near_duplicates(spark, rows, "row").select(F.col("doc_id").alias("row"), "component_id")
     first = groups.join(rows.select("row", "order"), "row").groupBy("component_id").agg(F.min("order").alias("first"))
     return rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one row of each group of texts linked by a similarity of 0.8 or more on five-word shingles, as above."""
+    rows = numbered(spark, docs)
+    return rows.join(copies.first_rows(spark, rows), "row", "left_semi").select(*COLUMNS)
+
+
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind."""
     found = pii.with_spans(docs.select(*COLUMNS), pii.fit(docs))
@@ -54,7 +63,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.token_digests(spark, docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("pii", redact), ("mixing", mix), ("encoding", encode)]
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_copies), ("pii", redact), ("mixing", mix), ("encoding", encode)]
 #: Training, component search and encoding are not expressible in SQL.
 ORACLE_SQL = None
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, chat, common, mixing, parsing, pii, simhash, toxicity, urls, warc
+from tidemark.llm import ann, bpe, chat, common, copies, mixing, parsing, pii, simhash, toxicity, urls, warc
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -519,5 +519,40 @@ def test_pipeline_keeps_one_row_of_repeated_ids_and_null_ids(spark):
         assert sorted((r["text"], r["doc_id"]) for r in stage(spark, docs, SF).collect()) == [(one, 1), (two, 1), (three, None)]
 
 
+def plain_kept(texts, least=0.8):
+    sets = [set(copies.shingle_set(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+            root = [root[i] if r == root[j] else r for r in root]
+    return {min(i for i in range(len(texts)) if root[i] == r) for r in set(root)}
+
+
+def test_pipeline_drops_planted_near_copies(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["sea", "tide", "wind"]) + str(rng.randrange(500)) for _ in range(300)) for _ in range(12)]
+    for t in texts[:12]:
+        for changes in (1, 3, 5, 6, 9, 12):  # from similarity 0.97 to 0.6 or so
+            words = t.split()
+            for i in range(changes):
+                words[i * 24 + rng.randrange(20)] = "other"
+            texts.append(" ".join(words))
+    texts += ["", None, "a b", "A  b", "a b c"]
+    kept = {r["doc_id"] for r in dict(cp.STAGES)["near_duplicates"](spark, documents(spark, texts), SF).collect()}
+    assert kept == plain_kept(texts)
+    assert not kept & set(range(12, 12 + 72, 6))
+
+
+def test_pipeline_copies_of_the_documents(spark):
+    import corpus_pipeline as cp
+
+    docs = common.table(spark, SF, "documents")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    kept = {r["doc_id"] for r in dict(cp.STAGES)["near_duplicates"](spark, docs, SF).collect()}
+    assert kept == {rows[i][0] for i in plain_kept([t for _, t in rows])}
+
+
 def test_detector_prints_as_json():
     assert json.loads(repr(pii.Detector([(0, 1.0, 0.1, -0.1)], {"ip": 0.2})))["thresholds"] == {"ip": 0.2}
