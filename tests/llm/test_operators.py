@@ -193,6 +193,15 @@ def test_pii_query_on_all_documents(spark):
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= {*filter(None, r["spans"].split(","))}
 
 
+def test_rare_kinds_are_redacted(spark):
+    loose = {1: "write to jane [at] example [dot] org now", 2: "call 555 123 4567 now", 3: "pay 4111.1111.1111.1111 now", 4: "host 2001:db8:0:0:0:0:0:1 now"}
+    plain = [(i, f"in {1900 + i % 90} they sold {i} of 12/{i}, see a{i}@b.org" if i % 3 else f"page {i}") for i in range(10, 100)]
+    for more in ([], plain):
+        docs = spark.createDataFrame([*loose.items(), *more], "doc_id long, text string")
+        found = pii.with_spans(docs, pii.fit(docs)).where("doc_id < 10").select("doc_id", pii.redacted(F.col("text"), F.col("pii_spans")).alias("text"))
+        assert {r["doc_id"]: r["text"] for r in found.collect()} == {1: "write to [EMAIL] now", 2: "call [PHONE] now", 3: "pay [CARD] now", 4: "host [IP] now"}
+
+
 def test_trees_as_column_score_like_trees(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(0, 9, (300, len(pii.FEATURES))).astype(float)

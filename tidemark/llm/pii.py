@@ -2,9 +2,10 @@
 
 High-recall generators propose spans, which may overlap: the four base kinds, and looser forms of them (written-out e-mail
 addresses, telephone numbers without a leading plus, cards with dots or slashes, IPv6). Every candidate gets format
-and context features. Boosted trees score them; they are small, fitted on a bounded sample of candidates and compiled
-to one column expression. Base spans always stay; a looser candidate is added where it has its kind's structure, overlaps no base
-span and its score is over the threshold calibrated for its kind.
+and context features. Boosted trees score them; they are small, fitted on a bounded number of candidates of each kind and
+compiled to one column expression. Base spans always stay; a looser candidate is added where it has its kind's structure,
+overlaps no base span and its score is over the threshold of its kind. Thresholds are calibrated by counts of scores over the
+candidates of all documents; for a kind too rare for that, structure alone decides.
 
 There are no labels of personal data, so the trees learn from the base rules: candidates that pass a base rule's validation are
 examples for, number-like and address-like spans that fail it against. The feature that identifies a base form alone (its
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialised, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base expressions, written so that Java's engine neither recurses nor tries each place of a run.
@@ -195,40 +196,45 @@ class Detector:
         return json.dumps({"trees": self.trees, "thresholds": self.thresholds})
 
 
-def fit(docs: DataFrame, max_docs: int = 4000, max_rows: int = 20_000, precision: float = 0.98) -> Detector:
-    """Fit on the candidates of about ``max_docs`` documents, chosen by a hash of the id; ``max_rows`` of them at most.
+#: The threshold of a kind that can't be calibrated: its structure alone decides.
+DEFAULT = float("-inf")
+BINS = 256
 
-    A kind's threshold is the least score at which the examples of the calibration half have the wanted precision;
-    where there is none, nothing is added for that kind.
-    """
-    share = min(1.0, max_docs / max(1, docs.count()))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    some = docs.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", text.alias("text")).where(F.col("text").rlike("[0-9@]"))
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """``(kind, half, pick)`` and the features of every base span and, with kind -1, of other spans that overlap none."""
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike("[0-9@]"))
     good = F.concat(*(base_spans(F.col("text"), k) for k in KINDS))
     every = matches(F.col("text"), OTHER, -1, lambda m: F.lit(True))
     spans = some.withColumn("good", good).withColumn("bad", F.filter(every, lambda b: ~F.exists("good", lambda g: (g["start"] < b["end"]) & (b["start"] < g["end"]))))
     rows = spans.select("doc_id", "text", F.explode(F.concat("good", "bad")).alias("s"))
     of = features(F.col("text"), F.col("s"))
-    order = F.xxhash64("doc_id", "kind", "start")
-    found = rows.select("doc_id", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), *(c.cast("int").alias(n) for n, c in of.items())).orderBy(order, "doc_id", "start").limit(max_rows).collect()
-    if not found:
-        return Detector([], {})
-    x = np.array([r[3:] for r in found], float)
-    kind = np.array([r[1] for r in found])
-    y = (kind >= 0).astype(float)
-    half = np.arange(len(y)) % 2 == 0
-    trees = fit_trees(x[half], y[half])
-    z = predict(trees, x[~half])
+    pick = F.xxhash64(F.coalesce("doc_id", F.lit(0)), "s.kind", "s.start")
+    return rows.select(F.col("s.kind").alias("kind"), F.pmod(pick, F.lit(2)).alias("half"), pick.alias("pick"), *(c.cast("int").alias(n) for n, c in of.items()))
+
+
+def fit(docs: DataFrame, max_rows: int = 20_000, precision: float = 0.98) -> Detector:
+    """Fit on half of the candidates, at most ``max_rows``, of which each kind and the others have an equal share.
+
+    A kind's threshold is the least score at which its examples among all candidates of the other half have the wanted
+    precision; with under ten examples, or where there is no such score, it is ``DEFAULT``.
+    """
+    found = materialised(docs.sparkSession, candidates(docs), "pii-candidates")
+    share = max_rows // (len(KINDS) + 1)
+    picked = [r for k in range(-1, len(KINDS)) for r in found.where((F.col("kind") == k) & (F.col("half") == 0)).orderBy("pick", *FEATURES).limit(share).select("kind", *FEATURES).collect()]
+    trees = []
+    if picked:
+        trees = fit_trees(np.array([r[1:] for r in picked], float), (np.array([r[0] for r in picked]) >= 0).astype(float))
+    score = F.floor(compiled(trees, {f: F.col(f) for f in FEATURES}) * BINS)
+    counts = found.where("half = 1").groupBy("kind", score.alias("bin")).count().collect()
+    of = {(r["kind"], r["bin"]): r["count"] for r in counts}
     thresholds = {}
     for k, name in enumerate(KINDS):
-        use = (kind[~half] == k) | (kind[~half] < 0)
-        s, t = z[use], kind[~half][use] == k
-        order = np.argsort(-s, kind="stable")
-        right = np.cumsum(t[order]) / np.arange(1, len(t) + 1)
-        ends = np.append(s[order][1:] != s[order][:-1], True) if len(s) else np.zeros(0, bool)
-        ok = np.flatnonzero((right >= precision) & ends)
-        if t.sum() >= 10 and len(ok):
-            thresholds[name] = float(s[order][ok[-1]])
+        bins = sorted({b for kind, b in of if kind in (k, -1)}, reverse=True)
+        own = np.cumsum([of.get((k, b), 0) for b in bins])
+        other = np.cumsum([of.get((-1, b), 0) for b in bins])
+        ok = np.flatnonzero(own >= precision * (own + other)) if len(bins) else []
+        thresholds[name] = bins[ok[-1]] / BINS if len(ok) and own[-1] >= 10 and own[ok[-1]] else DEFAULT
     return Detector(trees, thresholds)
 
 
