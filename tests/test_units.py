@@ -205,6 +205,18 @@ def test_bootstrap():
     assert low < m < high and high - low < 0.6
 
 
+def test_bootstrap_query_draws_two_thousand(spark, monkeypatch):
+    from tidemark.plans import study_queries as st_q
+
+    rng = np.random.default_rng(4)
+    m = rng.gamma(4.0, 1.0, (60, 2))
+    rows = [(7, DAY + dt.timedelta(i), name, float(m[i, j])) for i in range(60) for j, name in enumerate(("persistence", "climatology"))]
+    monkeypatch.setattr(st_q, "origin_losses", lambda *_: spark.createDataFrame(rows, "lead int, origin date, model string, loss double"))
+    got = st_q.t5_t6_bootstrap(spark, "").first()
+    assert tuple(got)[1:] == pytest.approx(sg.bootstrap_ci(m, "skill", draws=2000), abs=2e-6)
+    assert tuple(got)[1:] != pytest.approx(sg.bootstrap_ci(m, "skill", draws=400), abs=2e-6)
+
+
 def test_spatial(spark):
     square = {"a": [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)], "b": [(5.0, 0.0), (6.0, 0.0), (6.0, 1.0)]}
     rows = spark.createDataFrame([(1.0, 1.0), (3.0, 1.0), (5.9, 0.1), (4.5, 0.0)], "x double, y double")

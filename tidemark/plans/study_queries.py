@@ -242,7 +242,7 @@ def t4_wilcoxon(spark, d):
 @query()
 def t5_t6_bootstrap(spark, d):
     wide = origin_losses(spark, d).where("model in ('persistence', 'climatology')").groupBy("lead", "origin").pivot("model", ["persistence", "climatology"]).agg(F.first("loss"))
-    return rounded(sg.bootstrap(wide, ["lead"], ["persistence", "climatology"], "skill", draws=400), 6)
+    return rounded(sg.bootstrap(wide, ["lead"], ["persistence", "climatology"], "skill"), 6)
 
 
 TASK_LOSS = "(select model, var, series_id, lead, round(avg(scaled_crps), 6) loss from sc where lead in (1, 7, 30) group by all)"
