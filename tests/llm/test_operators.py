@@ -497,9 +497,9 @@ def test_pipeline_stages(spark):
     toxic = cp.drop_toxic(spark, docs, SF)
     model = toxicity.fit(spark, docs, common.table(spark, SF, "labels"))
     assert {r["doc_id"] for r in toxic.collect()} == {r["doc_id"] for r in toxicity.scores(docs, model).where("score < 0.5").collect()}
-    unique = {r["doc_id"]: r["text"] for r in cp.drop_near_duplicates(spark, docs, SF).collect()}
-    groups = plain_groups({r["doc_id"]: plain_simhash(r["text"]) for r in docs.collect()})
-    assert set(unique) == set(groups.values())
+    unique = {r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, SF).collect()}
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    assert unique == {rows[i][0] for i in plain_kept([t for _, t in rows])}
     clean = {r["doc_id"]: r["text"] for r in cp.redact(spark, docs, SF).collect()}
     for r in docs.collect():
         assert plain_spans(clean[r["doc_id"]]) == []
@@ -524,8 +524,8 @@ def test_pipeline_keeps_one_row_of_repeated_ids_and_null_ids(spark):
     one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma"))
     rows = [(1, one)] * 5 + [(1, two), (2, two), (None, two), (None, three), (None, three), (None, one)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC)
-    for stage in {cp.drop_near_duplicates, dict(cp.STAGES)["near_duplicates"]}:
-        assert sorted((r["text"], r["doc_id"]) for r in stage(spark, docs, SF).collect()) == [(one, 1), (two, 1), (three, None)]
+    stage = dict(cp.STAGES)["near_duplicates"]
+    assert sorted((r["text"], r["doc_id"]) for r in stage(spark, docs, SF).collect()) == [(one, 1), (two, 1), (three, None)]
 
 
 def plain_kept(texts, least=0.8):
@@ -554,13 +554,28 @@ def test_pipeline_drops_planted_near_copies(spark):
     assert not kept & set(range(12, 12 + 72, 6))
 
 
-def test_pipeline_copies_of_the_documents(spark):
-    import corpus_pipeline as cp
-
-    docs = common.table(spark, SF, "documents")
-    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
-    kept = {r["doc_id"] for r in dict(cp.STAGES)["near_duplicates"](spark, docs, SF).collect()}
-    assert kept == {rows[i][0] for i in plain_kept([t for _, t in rows])}
+def test_tiles_and_hot_bands_lose_no_link(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(150):  # one family whose members have similarities of 0.5 to 0.95
+        words = list(base)
+        for i in rng.sample(range(200), rng.randint(1, 14)):
+            words[i] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"y{rng.randrange(10**6)}" for _ in range(40)) for _ in range(20)]
+    sets = [copies.shingle_set(t) for t in texts]
+    want = plain_components(range(len(texts)), [(a, b) for a, b in combinations(range(len(texts)), 2) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))])
+    frame = spark.createDataFrame([(i, s.view(np.int64).tolist(), len(s)) for i, s in enumerate(sets)], "id long, set array<long>, size int")
+    clusters = frame.select("id", F.when(F.col("id") < 150, 0).otherwise(F.col("id")).cast("long").alias("cluster"))
+    for tile in (2048, 20):
+        edges = [tuple(r) for r in copies.linked(spark, clusters, frame, 0.8, tile_rows=tile).collect()]
+        assert plain_components(range(len(texts)), edges) == want
+    kind = "id long, size int, a long, b long, bands array<long>"
+    nodes = spark.createDataFrame([(i, len(s), *copies.wide_print(s).tolist(), copies.bands(s).tolist()) for i, s in enumerate(sets)], kind)
+    for rows, sample in ((2048, 100_000), (30, 100_000), (30, 1)):  # all at once, dealt, and blocks of a band that no sample shows
+        got = plain_components(range(len(texts)), [tuple(r) for r in copies.tied(nodes, 0.8, rows, sample).collect()])
+        assert all(got[a] == got[b] for a, b in want.items())
 
 
 def test_detector_prints_as_json():

@@ -329,8 +329,8 @@ def decode_documents(spark: SparkSession, encoded: DataFrame, path: str | None =
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
-def token_digests(spark: SparkSession, docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Encode, decode the ids again and give the digests of both: ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``.
+def token_digests(spark: SparkSession, docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Encode, decode the ids again and give the digests of both: ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``, and ``ids`` if asked.
 
     Both directions run in one pass, so the ids are not passed between processes.
     """
@@ -339,14 +339,20 @@ def token_digests(spark: SparkSession, docs: DataFrame, path: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(content.value, pattern)
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, every = [], [], [], []
             for ids in coder.encode_all(batch.column(1).to_pylist()):
                 n.append(len(ids))
                 a.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 b.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    every.append(ids.view("<i4"))
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            if with_ids:
+                columns.append(pa.array(every, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+
+    kind = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, kind)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
