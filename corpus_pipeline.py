@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, copies, mixing, pii, simhash, toxicity
+from tidemark.llm import bpe, copies, mixing, pii, toxicity
 from tidemark.llm.common import materialised, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,27 +23,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("score < 0.5").withColumnRenamed("body", "text").select(*COLUMNS)
 
 
-def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents with a number of their own for each row, and the order in which rows are preferred."""
-    rows = materialised(spark, docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
-    return rows.withColumn("order", F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", F.xxhash64(*COLUMNS).alias("digest"), "row"))
+def preferred(docs: DataFrame) -> DataFrame:
+    """The documents with two words that name a row by its content, and the order in which rows are preferred."""
+    k1, k2 = copies.identity(COLUMNS)
+    rows = docs.select(*COLUMNS, k1.alias("k1"), k2.alias("k2"))
+    return rows.withColumn("order", F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "k1", "k2"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of linked fingerprints by op8's rule, the one with the smallest id; a null id comes last.
+    """Keep one row of each group of texts linked by a similarity of 0.8 or more on five-word shingles.
 
-    This finds close copies only, so the pipeline's stage is ``drop_copies``.
+    It is the row with the smallest id, rows with a null id last; of equal rows one stays.
     """
-    rows = numbered(spark, docs)
-    groups = simhash.near_duplicates(spark, rows, "row").select(F.col("doc_id").alias("row"), "component_id")
-    first = groups.join(rows.select("row", "order"), "row").groupBy("component_id").agg(F.min("order").alias("first"))
-    return rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").select(*COLUMNS)
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of texts linked by a similarity of 0.8 or more on five-word shingles, as above."""
-    rows = numbered(spark, docs)
-    return rows.join(copies.first_rows(spark, rows), "row", "left_semi").select(*COLUMNS)
+    rows = preferred(docs)
+    first = copies.first_rows(spark, rows)
+    kept = rows.join(first.where("not repeated"), ["k1", "k2"], "left_semi").select(*COLUMNS)
+    repeated = first.where("repeated")
+    if repeated.limit(1).count():
+        kept = kept.unionByName(rows.join(repeated, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*COLUMNS))
+    return kept
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +58,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests of the ids and of the text they decode to."""
-    return bpe.token_digests(spark, docs)
+    return bpe.token_digests(spark, docs, with_ids=True)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_copies), ("pii", redact), ("mixing", mix), ("encoding", encode)]
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("pii", redact), ("mixing", mix), ("encoding", encode)]
 #: Training, component search and encoding are not expressible in SQL.
 ORACLE_SQL = None
 
