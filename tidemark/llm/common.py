@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a temporary folder is
-    made and set.
+    It is the one in ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests on one machine) a
+    temporary folder is made and set; a cluster without the setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -41,6 +45,30 @@ def whole_text(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row; an expression named inside a lambda would be computed at each step."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], block: int = 128) -> Column:
+    """For each of an ``array<int>`` what ``step`` makes of all before it, from 0; in blocks, as arrays grow by copying."""
+    none = F.array().cast("array<int>")
+
+    def scan(part: Column, start: Column) -> Column:
+        grow = lambda s, x: F.struct(step(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("at"), none.alias("out")), grow)["out"]
+
+    def blocks(v: Column) -> Column:
+        last = F.floor((F.size(v) - 1) / block).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * block + 1, F.lit(block)))
+
+    def joined(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), step))
+        return let(scan(totals, F.lit(0)), lambda heads: F.flatten(F.transform(parts, lambda p, i: scan(p, F.get(heads, i)))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(blocks(v), joined)).otherwise(none))
+
+
 def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` by alternating large-star and small-star steps.
 

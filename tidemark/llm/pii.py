@@ -4,16 +4,18 @@ High-recall generators propose spans, which may overlap: the four base kinds, an
 addresses, telephone numbers without a leading plus, cards with dots or slashes, IPv6). Every candidate gets format
 and context features. Boosted trees score them; they are small, fitted on a bounded number of candidates of each kind and
 compiled to one column expression. Base spans always stay; a looser candidate is added where it has its kind's structure,
-overlaps no base span and its score is over the threshold of its kind. Thresholds are calibrated by counts of scores over the
-candidates of all documents; for a kind too rare for that, structure alone decides.
+lies outside the base spans and its score is over the threshold of its kind.
 
-There are no labels of personal data, so the trees learn from the base rules: candidates that pass a base rule's validation are
-examples for, number-like and address-like spans that fail it against. The feature that identifies a base form alone (its
-generator) is withheld, so the trees learn what such spans and their surroundings look like.
+There are no labels of personal data, so the trees learn from the base rules. A span that passes a base rule is an example for
+its kind twice: as it stands, and rewritten in the kind's looser form in the same surroundings. Number-like and
+address-like spans outside all of them are the examples against, dealt over the kinds. Thresholds are calibrated by counts
+of scores over the rewritten examples and those against of the other half of all documents; for a kind with under ten
+examples there, structure alone decides, so a rare kind is still redacted.
 
 Positions are code points. They come from the lengths of the matches and of the pieces between them, so texts are scanned
-by the regular expression engine only. The expressions use possessive quantifiers where a loop would otherwise recurse, and
-look behind so that a long run of one class is tried once.
+by the regular expression engine only, in time linear in the matches. The expressions use possessive quantifiers where a loop would
+otherwise recurse, and look behind so that a long run of one class is tried once. The counts in them are those of the
+formats (four digits, eight groups), not limits on length.
 
 Defined cases: a null text is the empty text; repeated rows come out once for each; null ids pass. Other columns are not
 looked at.
@@ -25,10 +27,10 @@ import json
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialised, table
+from .common import let, materialised, running, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base expressions, written so that Java's engine neither recurses nor tries each place of a run.
@@ -40,17 +42,21 @@ BASE = {
 }
 #: Looser forms of each kind.
 LOOSE = {
-    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[A-Za-z0-9-]{1,63}+){1,6}+",
+    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9]{4}([./])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}([./])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([./])[0-9]{6}\2[0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+.-])(?:00[1-9][0-9]{0,2}\x20)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
 }
-#: Number-like and address-like spans of any kind, the examples against.
-OTHER = r"(?<![0-9A-Za-z])[0-9](?:[0-9./:\x20()-]{0,30}[0-9])?(?![0-9A-Za-z])"
+#: Number-like spans of any kind, the examples against.
+OTHER = r"(?<![0-9A-Za-z])[0-9]++(?:[./:\x20()-]{1,2}+[0-9]++)*+"
 SPAN = "struct<kind:int,start:int,end:int>"
+MATCH = "struct<kind:int,start:int,end:int,m:string,before:string,after:string>"
 CONTEXT = 24
-FEATURES = ("digits", "letters", "length", "groups", "spaces", "dots", "hyphens", "brackets", "at_signs", "word_before", "word_after", "label_before")
+FEATURES = (
+    "kind", "digits", "letters", "length", "groups", "spaces", "dots", "hyphens", "brackets", "colons", "at_signs", "at_words", "word_before", "word_after", "label_before",
+)
 LABELS = r"(?i)(?:e-?mail|mail|phone|tel|call|fax|mobile|card|visa|credit|contact|ip|host|address)[^A-Za-z0-9]{0,4}$"
+FILLER = "\x00"
 
 
 def _empty(kind: str = SPAN) -> Column:
@@ -74,20 +80,38 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _cut_up(text: Column, pattern: str) -> Column:
+    """The matches of a pattern and the pieces between them, computed once."""
+    return F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+
+
 def matches(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the leftmost non-overlapping matches that ``keep`` (of the matched text) allows."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
+    """The leftmost non-overlapping matches that ``keep`` (of the matched text) allows, with their surroundings."""
+
+    def placed(p: Column) -> Column:
+        found, between = p["found"], p["between"]
+        sizes = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(between, i)))
+
+        def one(m: Column, i: Column, before: Column) -> Column:
+            start = F.get(before, i) + F.length(F.get(between, i))
+            left = F.concat(F.when(i > 0, F.get(found, i - 1)).otherwise(F.lit("")), F.get(between, i))
+            right = F.concat(F.get(between, i + 1), F.coalesce(F.get(found, i + 1), F.lit("")))
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("m"), F.right(left, F.lit(CONTEXT)).alias("before"), F.left(right, F.lit(CONTEXT)).alias("after"))
+
+        spans = let(running(sizes, lambda a, x: a + x), lambda before: F.transform(found, lambda m, i: one(m, i, before)))
+        return F.when(F.size(found) > 0, F.filter(spans, lambda s: keep(s["m"]))).otherwise(_empty(MATCH))
 
-    def step(state: Column, i: Column) -> Column:
-        m = F.get(found, i)
-        start = state["at"] + F.length(F.get(between, i))
-        end = start + F.length(m)
-        span = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(keep(m), F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+    return let(_cut_up(text, pattern), placed)
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), _empty().alias("spans")), step)["spans"]
-    return F.when(F.size(found) > 0, walked).otherwise(_empty())
+
+def blanked(text: Column, pattern: str, keep) -> Column:
+    """The text with each kept match filled by as many code points that no pattern knows."""
+
+    def filled(p: Column) -> Column:
+        fill = lambda m: F.when(keep(m), F.repeat(F.lit(FILLER), F.length(m))).otherwise(m)
+        return F.array_join(F.transform(p["between"], lambda b, i: F.concat(b, F.coalesce(fill(F.get(p["found"], i)), F.lit("")))), "")
+
+    return let(_cut_up(text, pattern), filled)
 
 
 def _may_have(kind: str, text: Column) -> Column:
@@ -95,29 +119,56 @@ def _may_have(kind: str, text: Column) -> Column:
     return {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": text.rlike(r"\+[0-9]")}[kind]
 
 
+def base_matches(text: Column, kind: str) -> Column:
+    found = matches(text, BASE[kind], KINDS.index(kind), lambda m: _valid(kind, m))
+    return F.when(_may_have(kind, text), found).otherwise(_empty(MATCH))
+
+
 def base_spans(text: Column, kind: str) -> Column:
-    k = KINDS.index(kind)
-    return F.when(_may_have(kind, text), matches(text, BASE[kind], k, lambda m: _valid(kind, m))).otherwise(_empty())
+    return F.transform(base_matches(text, kind), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def loose_spans(text: Column, kind: str) -> Column:
-    k = KINDS.index(kind)
-    quick = {"email": r"(?i)[\[(]\x20?at\x20?[\])]", "ip": r"(?:[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:){2}", "card": r"[0-9]{4}[./][0-9]{4}[./]", "phone": r"[0-9]{3}[\x20.-][0-9]{4}"}[kind]
-    keep = (lambda m: F.lit(True)) if kind == "ip" else (lambda m: _valid(kind, m))
-    return F.when(text.rlike(quick), matches(text, LOOSE[kind], k, keep)).otherwise(_empty())
+def without_base(text: Column) -> Column:
+    """The text with every base span filled."""
+
+    def without(kind: str):
+        return lambda t: F.when(_may_have(kind, t), blanked(t, BASE[kind], lambda m: _valid(kind, m))).otherwise(t)
+
+    for kind in KINDS:
+        text = let(text, without(kind))
+    return text
 
 
-def features(text: Column, span: Column) -> dict[str, Column]:
-    """Format and context of a span, as small integers."""
-    cut = lambda a, n: F.substring(text, (a + 1).cast("int"), n.cast("int"))
-    m = cut(span["start"], span["end"] - span["start"])
-    left = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    before = cut(left, span["start"] - left)
-    after = cut(span["end"], F.lit(CONTEXT))
+def loose_matches(text: Column, kind: str) -> Column:
+    quick = {"email": r"(?i)[\[(]\x20?at\x20?[\])]", "ip": r"(?:[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:){2}", "card": r"[0-9]{4}[./][0-9]{4,6}[./]", "phone": r"[0-9]{3}[\x20.-][0-9]{4}"}[kind]
+    keep = (lambda m: F.lit(True)) if kind == "ip" else (lambda m: _valid(kind, m))
+    return F.when(text.rlike(quick), matches(text, LOOSE[kind], KINDS.index(kind), keep)).otherwise(_empty(MATCH))
+
+
+def loosened(s: Column) -> Column:
+    """A base match rewritten in the looser form of its kind, in its surroundings."""
+    m, digits = s["m"], F.regexp_replace(s["m"], "[^0-9]", "")
+    octet = lambda i: F.get(F.split(m, r"\."), F.lit(i)).try_cast("int")
+    word = lambda i: F.lower(F.hex((octet(i) * 256 + octet(i + 1)).cast("long")))
+    forms = (
+        F.concat(F.substring_index(m, "@", 1), F.lit(" [at] "), F.replace(F.substring_index(m, "@", -1), F.lit("."), F.lit(" [dot] "))),
+        F.concat_ws(":", F.lit("2001:db8:0:0:0:0"), word(0), word(2)),
+        F.regexp_replace(digits, "([0-9]{4})(?=[0-9])", "$1."),
+        F.regexp_replace(F.right(digits, F.lit(10)), "^([0-9]*)([0-9]{3})([0-9]{4})$", "($1) $2-$3"),
+    )
+    text = reduce(lambda a, i: F.when(s["kind"] == i, forms[i]).otherwise(a), range(1, len(KINDS)), forms[0])
+    return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), text.alias("m"), s["before"].alias("before"), s["after"].alias("after"))
+
+
+def features(s: Column, kind: Column | None = None) -> dict[str, Column]:
+    """Format and context of a match, as small integers."""
+    m, before, after = s["m"], s["before"], s["after"]
     count = lambda chars: F.length(m) - F.length(F.regexp_replace(m, f"[{chars}]", ""))
     return {
+        "kind": s["kind"] if kind is None else kind,
         "digits": count("0-9"), "letters": count("A-Za-z"), "length": F.length(m), "groups": F.size(F.split(m, "[^0-9A-Za-z]+")),
-        "spaces": count(r"\x20"), "dots": count("."), "hyphens": count(r"\-"), "brackets": count(r"()\[\]"), "at_signs": count("@"),
+        "spaces": count(r"\x20"), "dots": count("."), "hyphens": count(r"\-"), "brackets": count(r"()\[\]"), "colons": count(":"), "at_signs": count("@"),
+        "at_words": m.rlike(r"(?i)[\[(]\x20?at\x20?[\])]").cast("int"),
         "word_before": before.rlike(r"\p{L}[ ,.]{0,2}$").cast("int"), "word_after": after.rlike(r"^[ ,.]{0,2}\p{L}").cast("int"), "label_before": before.rlike(LABELS).cast("int"),
     }
 
@@ -202,76 +253,85 @@ BINS = 256
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``(kind, half, pick)`` and the features of every base span and, with kind -1, of other spans that overlap none."""
+    """``(good, form, half, pick)`` and the features of every base span, as it stands (form 0) and loosened (form 1), and of other spans."""
     some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    good = F.concat(*(base_spans(F.col("text"), k) for k in KINDS))
-    every = matches(F.col("text"), OTHER, -1, lambda m: F.lit(True))
-    spans = some.withColumn("good", good).withColumn("bad", F.filter(every, lambda b: ~F.exists("good", lambda g: (g["start"] < b["end"]) & (b["start"] < g["end"]))))
-    rows = spans.select("doc_id", "text", F.explode(F.concat("good", "bad")).alias("s"))
-    of = features(F.col("text"), F.col("s"))
-    pick = F.xxhash64(F.coalesce("doc_id", F.lit(0)), "s.kind", "s.start")
-    return rows.select(F.col("s.kind").alias("kind"), F.pmod(pick, F.lit(2)).alias("half"), pick.alias("pick"), *(c.cast("int").alias(n) for n, c in of.items()))
+    base = F.concat(*(base_matches(F.col("text"), k) for k in KINDS))
+    marked = lambda form, a: F.transform(a, lambda s: F.struct(F.lit(form).alias("form"), s.alias("s")))
+    good = let(base, lambda b: F.concat(marked(0, b), marked(1, F.transform(b, loosened))))
+    other = let(without_base(F.col("text")), lambda t: matches(t, OTHER, -1, lambda m: F.lit(True)))
+    rows = some.select("doc_id", F.explode(F.concat(good, marked(0, other))).alias("e"))
+    pick = F.xxhash64(F.coalesce("doc_id", F.lit(0)), "e.s.kind", "e.s.start", "e.form")
+    half = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(2)), F.lit(2))
+    rows = rows.select((F.col("e.s.kind") >= 0).alias("good"), "e.form", half.alias("half"), pick.alias("pick"), "e.s")
+    kind = F.when(F.col("good"), F.col("s.kind")).otherwise(F.pmod("pick", F.lit(len(KINDS))))
+    return rows.select("good", "form", "half", "pick", *(c.cast("int").alias(n) for n, c in features(F.col("s"), kind).items()))
 
 
 def fit(docs: DataFrame, max_rows: int = 20_000, precision: float = 0.98) -> Detector:
-    """Fit on half of the candidates, at most ``max_rows``, of which each kind and the others have an equal share.
+    """Fit on the candidates of half of the documents, at most ``max_rows``, of which the examples for and against each kind have an equal share.
 
-    A kind's threshold is the least score at which its examples among all candidates of the other half have the wanted
-    precision; with under ten examples, or where there is no such score, it is ``DEFAULT``.
+    A kind's threshold lies in the middle of the least score at which its loosened examples among all candidates of the other half
+    have the wanted precision (or their best one) and the next lower score; with under ten examples, or none against, it is ``DEFAULT``.
     """
     found = materialised(docs.sparkSession, candidates(docs), "pii-candidates")
-    share = max_rows // (len(KINDS) + 1)
-    picked = [r for k in range(-1, len(KINDS)) for r in found.where((F.col("kind") == k) & (F.col("half") == 0)).orderBy("pick", *FEATURES).limit(share).select("kind", *FEATURES).collect()]
+    share = max_rows // (2 * len(KINDS))
+    order = F.row_number().over(Window.partitionBy("good", "kind").orderBy("pick", *FEATURES))  # a group limit: a task passes on at most share rows of a group
+    picked = found.where("half = 0").withColumn("n", order).where(F.col("n") <= share).select("good", *FEATURES).orderBy("good", *FEATURES).collect()
     trees = []
     if picked:
-        trees = fit_trees(np.array([r[1:] for r in picked], float), (np.array([r[0] for r in picked]) >= 0).astype(float))
+        trees = fit_trees(np.array([r[1:] for r in picked], float), np.array([r[0] for r in picked], float))
     score = F.floor(compiled(trees, {f: F.col(f) for f in FEATURES}) * BINS)
-    counts = found.where("half = 1").groupBy("kind", score.alias("bin")).count().collect()
-    of = {(r["kind"], r["bin"]): r["count"] for r in counts}
+    counts = found.where("half = 1 and (form = 1 or not good)").groupBy("good", "kind", score.alias("bin")).count().collect()
+    of = {(r["good"], r["kind"], r["bin"]): r["count"] for r in counts}
     thresholds = {}
     for k, name in enumerate(KINDS):
-        bins = sorted({b for kind, b in of if kind in (k, -1)}, reverse=True)
-        own = np.cumsum([of.get((k, b), 0) for b in bins])
-        other = np.cumsum([of.get((-1, b), 0) for b in bins])
-        ok = np.flatnonzero(own >= precision * (own + other)) if len(bins) else []
-        thresholds[name] = bins[ok[-1]] / BINS if len(ok) and own[-1] >= 10 and own[ok[-1]] else DEFAULT
+        bins = sorted({b for _, kind, b in of if kind == k}, reverse=True)
+        own = np.cumsum([of.get((True, k, b), 0) for b in bins])
+        other = np.cumsum([of.get((False, k, b), 0) for b in bins])
+        thresholds[name] = DEFAULT
+        if len(bins) and own[-1] >= 10:
+            sure = np.where(own > 0, own / np.maximum(own + other, 1), 0.0)
+            ok = np.flatnonzero(sure >= min(precision, sure.max()))
+            below = bins[ok[-1] + 1 : ok[-1] + 2]
+            thresholds[name] = (bins[ok[-1]] + below[0]) / 2 / BINS if below else DEFAULT
     return Detector(trees, thresholds)
 
 
-def overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
 def with_spans(docs: DataFrame, detector: Detector) -> DataFrame:
     """``docs`` with ``pii_base`` and ``pii_spans``, arrays of ``struct<kind, start, end>`` in order of kind and start."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    per = docs.withColumns({f"_{k}": base_spans(text, k) for k in KINDS})
-    per = per.withColumn("pii_base", F.concat(*(F.col(f"_{k}") for k in KINDS))).drop(*(f"_{k}" for k in KINDS))
     added = _empty()
     kinds = [k for k in KINDS if k in detector.thresholds]
     if kinds:
-        loose = F.concat(*(loose_spans(text, k) for k in kinds))
-        clear = F.filter(loose, lambda s: ~F.exists("pii_base", lambda b: overlap(s, b)))
         least = lambda s: reduce(lambda a, k: F.when(s["kind"] == KINDS.index(k), detector.thresholds[k]).otherwise(a), kinds, F.lit(float("inf")))
-        added = F.filter("_clear", lambda s: compiled(detector.trees, features(text, s)) >= least(s))
-        per = per.withColumn("_clear", clear)
-    return per.withColumn("pii_spans", F.sort_array(F.concat("pii_base", added))).drop("_clear")
+        packed = lambda s: F.struct(*(c.alias(n) for n, c in features(s).items()))
+        score = lambda s: let(packed(s), lambda f: compiled(detector.trees, {n: f[n] for n in FEATURES}))
+        loose = let(without_base(text), lambda t: F.concat(*(loose_matches(t, k) for k in kinds)))
+        chosen = F.transform(F.filter(loose, lambda s: score(s) >= least(s)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        added = F.when(text.rlike(r"(?i)[0-9\])][\x20./:-]|[\[(]\x20?at"), chosen).otherwise(_empty())
+    base = F.concat(*(base_spans(text, k) for k in KINDS))
+    both = let(base, lambda b: F.struct(b.alias("base"), F.sort_array(F.concat(b, added)).alias("every")))
+    return docs.withColumn("_pii", both).withColumn("pii_base", F.col("_pii.base")).withColumn("pii_spans", F.col("_pii.every")).drop("_pii")
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), s["kind"].alias("kind"))))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    block = 4096  # a substring counts from the text's beginning, so pieces are cut from blocks
+
+    def cut(blocks: Column, start: Column, size: Column) -> Column:
+        of = F.slice(blocks, F.floor(start / block).cast("int") + 1, (F.floor((start % block + size) / block) + 1).cast("int"))
+        return F.substring(F.array_join(of, ""), (start % block + 1).cast("int"), size.cast("int"))
 
-    def step(state: Column, s: Column) -> Column:
-        end = -s["minus"]
-        new = s["start"] >= state["at"]
-        piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(end, state["at"]).alias("at"), F.when(new, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
+    def replaced(blocks: Column, ordered: Column) -> Column:
+        ends = running(F.transform(ordered, lambda s: -s["minus"]), lambda a, x: F.greatest(a, x))
+        piece = lambda s, at: F.when(s["start"] >= at, F.concat(cut(blocks, at, s["start"] - at), F.get(names, s["kind"]))).otherwise(F.lit(""))
+        last = F.aggregate(ordered, F.lit(0), lambda a, s: F.greatest(a, -s["minus"]))
+        return F.concat(let(ends, lambda e: F.array_join(F.transform(ordered, lambda s, i: piece(s, F.get(e, i))), "")), let(last, lambda a: cut(blocks, a, F.length(text))))
 
-    walked = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
-    whole = F.concat(F.array_join(walked["out"], ""), F.substring(text, walked["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    order = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), s["kind"].alias("kind"))))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}+"), F.lit(0))
+    return F.when(F.size(spans) > 0, let(F.struct(blocks.alias("b"), order.alias("o")), lambda p: replaced(p["b"], p["o"]))).otherwise(text)
 
 
 def listed(spans: Column) -> Column:
