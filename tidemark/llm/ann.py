@@ -159,6 +159,7 @@ def search(
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Exact scores inside each bucket; of a query the k + 1 best distinct vectors of all buckets in this task go on."""
         kept: dict[int, dict[int, float]] = {}
+        room = 500_000  # entries of kept before they go on
 
         def flush() -> Iterator[pa.RecordBatch]:
             q, r, s = [], [], []
@@ -195,7 +196,7 @@ def search(
                 if (this := tuple(key[a].tolist())) != now:
                     meet()
                     now, own, own_v, ask, ask_v = this, [], [], [], []
-                    if len(kept) > 50_000:
+                    if len(kept) * 8 * (k + 1) > room and sum(map(len, kept.values())) > room:
                         yield from flush()
                 mine = asks[a:b]
                 own.append(rep[a:b][~mine])
@@ -205,20 +206,19 @@ def search(
                 if sum(map(len, ask)) > 4096:  # the bucket's own rows come first
                     meet()
                     ask, ask_v = [], []
-                    if len(kept) > 8192:
+                    if len(kept) * 8 * (k + 1) > room and sum(map(len, kept.values())) > room:
                         yield from flush()
         meet()
         yield from flush()
 
     def answered(entries: DataFrame, visits: DataFrame) -> DataFrame:
         """``(query, near)``: of each visiting vector the best ids in all the buckets it visits."""
-        # buckets over the limit: at most tables * rows / bucket_rows of them
-        large = entries.groupBy("t", "bucket").count().where(F.col("count") > bucket_rows).collect()
-        parts = F.lit(1)
-        if large:
-            parts = F.coalesce(F.element_at(F.create_map(*[x for r in large for x in (F.lit(f"{r['t']}:{r['bucket']}"), F.lit(-(-r["count"] // bucket_rows)))]), F.concat_ws(":", "t", "bucket")), F.lit(1))
-        entries = entries.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-        visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+        # buckets over the limit, joined as they grow with the rows
+        large = entries.groupBy("t", "bucket").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("parts")).where("parts > 1")
+        large = materialised(spark, large, "ann-large")
+        parts = F.coalesce("parts", F.lit(1))
+        entries = entries.join(large, ["t", "bucket"], "left").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).drop("parts")
+        visits = visits.join(large, ["t", "bucket"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
         placed = entries.withColumn("asks", F.lit(False)).unionByName(visits.withColumn("asks", F.lit(True))).join(reps.select("rep", "v"), "rep")
         # buckets are dealt over as many tasks as the entries need, since a query's best go on once from each task
         tasks = max(8, -(-tables * scale["n"] // task_rows))
