@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, materialised, whole_text
@@ -191,6 +191,11 @@ def link_shard(homes: np.ndarray, others: np.ndarray, reach: int, rows: int = 25
     return points[moved], points[root[moved]]
 
 
+def sampled(share: float) -> Column:
+    """Whether a fingerprint is in a sample of about ``share``, by its hash; exact to a part in 2^53."""
+    return F.shiftrightunsigned(F.xxhash64("fp"), 11) < F.lit(int(share * (1 << 53)))
+
+
 def links(spark: SparkSession, nodes: DataFrame, reach: int = 3, sample_rows: int = 16384, leaf_rows: int = 4096, tile_rows: int = 16384) -> DataFrame:
     """Spanning edges ``(u, v)`` over the distinct ``nodes(fp)``: every pair within ``reach`` bits is connected by them.
 
@@ -199,7 +204,7 @@ def links(spark: SparkSession, nodes: DataFrame, reach: int = 3, sample_rows: in
     """
     count = nodes.count()
     share = min(0.25, sample_rows / max(1, count))
-    picked = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20))).select("fp").collect()
+    picked = nodes.where(sampled(share)).select("fp").collect()
     sample = np.array([r[0] for r in picked], np.int64).view(np.uint64)
     rows = max(leaf_rows, int(12 * count**0.5))
     tree = build_tree(sample, max(4, int(rows * share)))
@@ -214,7 +219,7 @@ def links(spark: SparkSession, nodes: DataFrame, reach: int = 3, sample_rows: in
 
     routed = nodes.select("fp").mapInArrow(spread, "fp long, leaf int, home boolean")
     sizes = routed.groupBy("leaf").agg(F.count_if("home").alias("homes"), F.count("*").alias("all"))
-    # one row for each shard over the tile size; the shards number at most sample_rows
+    # one row for each shard over the tile size; the shards number at most sample_rows, whatever the input
     large = sizes.where((F.col("homes") > tile_rows) | (F.col("all") > 8 * tile_rows)).collect()
     hb, vb = F.lit(1), F.lit(1)
     if large:
