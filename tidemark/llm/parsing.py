@@ -11,8 +11,8 @@ hash that falls into it (00: none). The likeness of two fingerprints is the shar
 either fills.
 
 Defined cases: a null text is the empty text, whose fingerprint is all zero; two empty fingerprints have likeness 1;
-repeated rows come out once for each, in the order of their texts; rows with a null id come last in the descending
-order. Other columns are not looked at.
+repeated rows come out once for each; rows of one id follow each other in the order of a hash of their texts; rows with a
+null id come last in the descending order. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,14 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import materialised, table, whole_text
 
 LEVELS = 3  # the names of the last two levels are sampled; phrases have about 2.6 ** level code points
 SLOTS = 64
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+SLICE_CHARS = 64_000_000
 POWERS = np.random.default_rng(5).integers(1, 1 << 63, 64, np.uint64) << np.uint64(1) | np.uint64(1)
 
 
@@ -138,35 +139,20 @@ def document_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str =
     return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, fingerprint string")
 
 
-def with_next(docs: DataFrame, slices: int | None = None) -> DataFrame:
-    """``(slice, doc_id, text, own)``: the rows in slices of descending ids, each slice closed by a copy of the next one's first row.
+def in_order(docs: DataFrame, slices: int | None = None) -> DataFrame:
+    """``(slice, doc_id, text)``: the rows in partitions of descending ids, by range and sorted inside each.
 
-    So every row finds the row after it inside its slice, in one shuffle and with no sort of all rows in one place. The
-    cuts come from an approximate quantile of the ids and only balance the slices. Equal ids are ordered by text.
+    There are as many slices as keep each near ``SLICE_CHARS``. Equal and null ids are ordered by a hash of the text, then by the text, so
+    that many of them are dealt over several slices too.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    slices = slices or max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted({int(x) for x in rows.stat.approxQuantile("doc_id", [i / slices for i in range(1, slices)], 0.1 / slices)}, reverse=True)
-    # slice 0 holds the greatest ids; a row with a null id belongs into the last one
-    if cuts:
-        number = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(
-            len(cuts) - F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))), F.lit(0))
-        )
-    else:
-        number = F.lit(0)
-    placed = rows.withColumn("slice", number.cast("int"))
-    # one row a slice: its first id, and whether it has any row
-    heads = sorted((r["slice"], r["head"]) for r in placed.groupBy("slice").agg(F.max("doc_id").alias("head")).collect())
-    lead = F.lit(None).cast("int")  # the slice before, whose last row is followed by this one
-    table_of = F.create_map(*[F.lit(x) for (s, _), (b, _) in zip(heads, [heads[-1], *heads[:-1]]) for x in (s, b)]) if heads else None
-    head_of = F.create_map(*[x for s, h in heads for x in (F.lit(s), F.lit(h).cast("long"))]) if heads else None
-    if heads:
-        lead = F.when(F.col("doc_id").eqNullSafe(F.element_at(head_of, F.col("slice"))), F.element_at(table_of, F.col("slice")))
-    places = F.when(lead.isNotNull(), F.array(F.struct(F.col("slice").alias("slice"), F.lit(True).alias("own")), F.struct(lead.alias("slice"), F.lit(False).alias("own")))).otherwise(
-        F.array(F.struct(F.col("slice").alias("slice"), F.lit(True).alias("own")))
-    )
-    return placed.select(F.explode(places).alias("p"), "doc_id", "text").select("p.slice", "doc_id", "text", "p.own")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("h", F.xxhash64("text"))
+    if slices is None:
+        size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+        slices = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SLICE_CHARS))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
+    dealt = rows.repartitionByRange(slices, *order).sortWithinPartitions(*order, "text")
+    return dealt.select(F.spark_partition_id().alias("slice"), "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -175,52 +161,74 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def measured(rows: list[tuple], following: str) -> list[pa.Array]:
+    """The result's columns for rows ``(doc_id, text)`` that follow each other, and the text after the last."""
+    texts = [t for _, t in rows]
+    nexts = [*texts[1:], following]
+    changed = [edited(a, b) for a, b in zip(texts, nexts)]
+    every = [code_points(t) for t in [*texts, following, *changed]]
+    prints = sketches(np.concatenate(every), np.fromiter(map(len, every), np.int64))
+    n = len(rows)
+    own, after, new = prints[:n], prints[1 : n + 1], prints[n + 1 :]
+    return [
+        pa.array([i for i, _ in rows], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
+        pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in changed]),
+        pa.array([r.tobytes().hex() for r in own]), pa.array([r.tobytes().hex() for r in new]),
+        pa.array(likeness(own, new), pa.float64()), pa.array(likeness(own, after), pa.float64()),
+    ]
+
+
 def edit_fingerprints(docs: DataFrame, slices: int | None = None) -> DataFrame:
-    """For each row its fingerprint, that of its edited text, and its likeness to that and to the next document."""
-
-    def measured(rows: list[tuple], following: tuple) -> pa.RecordBatch:
-        """rows and the row after the last one: (doc_id, text)."""
-        texts = [t for _, t in rows]
-        nexts = [*texts[1:], following[1]]
-        changed = [edited(a, b) for a, b in zip(texts, nexts)]
-        every = [code_points(t) for t in [*texts, following[1], *changed]]
-        prints = sketches(np.concatenate(every), np.fromiter(map(len, every), np.int64))
-        n = len(rows)
-        own, after, new = prints[:n], prints[1 : n + 1], prints[n + 1 :]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([i for i, _ in rows], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in changed]),
-                pa.array([r.tobytes().hex() for r in own]), pa.array([r.tobytes().hex() for r in new]),
-                pa.array(likeness(own, new), pa.float64()), pa.array(likeness(own, after), pa.float64()),
-            ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
+    """For each row its fingerprint, that of its edited text, and its likeness to that and to the next document.
+
+    A slice measures all its rows but the last, and passes its first and last row on; the last ones meet the first ones of the next
+    slices in a join of a row for each slice.
+    """
+    spark = docs.sparkSession
+    names = [c.split()[0] for c in RESULT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # rows of the slice at hand whose next row may not be seen yet
-        size, now, closing = 0, None, None
+        held: list[tuple] = []  # rows whose next row may not be seen yet
+        size, now = 0, None
+
+        def edge(first: bool, row: tuple) -> pa.RecordBatch:
+            none = [pa.nulls(1, k) for k in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *none, pa.array([now], pa.int32()), pa.array([first]), pa.array([row[1]], pa.string())], names=[*names, "slice", "first", "text"])
+
+        def done(rows: list[tuple], following: str) -> pa.RecordBatch:
+            n = len(rows)
+            return pa.RecordBatch.from_arrays([*measured(rows, following), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.string())], names=[*names, "slice", "first", "text"])
+
         for batch in batches:
-            for s, i, t, own in zip(*(batch.column(c).to_pylist() for c in ("slice", "doc_id", "text", "own"))):
-                if s != now:
-                    if held:
-                        yield measured(held, closing or held[0])
-                    held, size, now, closing = [], 0, s, None
-                if own:
-                    if held and (len(held) >= 256 or size > 60_000):
-                        yield measured(held, (i, t))
-                        held, size = [], 0
-                    held.append((i, t))
-                    size += len(t)
-                elif closing is None:
-                    closing = (i, t)
+            for s, i, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is None:
+                    now = s
+                    yield edge(True, (i, t))
+                if len(held) >= 256 or size > 60_000:
+                    yield done(held, t)
+                    held, size = [], 0
+                held.append((i, t))
+                size += len(t)
         if held:
-            yield measured(held, closing or held[0])
+            if held[:-1]:
+                yield done(held[:-1], held[-1][1])
+            yield edge(False, held[-1])
 
-    dealt = with_next(docs, slices)
-    # own rows first, in descending order; then the copies of the next slice's first row
-    ordered = dealt.repartition("slice").sortWithinPartitions("slice", F.col("own").desc(), F.col("doc_id").desc_nulls_last(), "text")
-    return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t, following in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_arrays(measured([(i, t)], following), names=names)
+
+    made = materialised(spark, in_order(docs, slices).mapInArrow(run, f"{RESULT}, slice int, first boolean, text string"), "fingerprints")
+    first = made.where("first").select("slice", F.col("text").alias("following"))
+    # a row of two integers for each slice, in one task
+    order = Window.orderBy("slice")
+    after = first.select("slice", F.lead("slice").over(order).alias("next"), F.first("slice").over(order).alias("least")).select("slice", F.coalesce("next", "least").alias("next"))
+    last = made.where("not first").select("slice", "doc_id", "text").join(after, "slice").join(first.withColumnRenamed("slice", "next"), "next")
+    return made.where("first is null").select(*names).unionByName(last.select("doc_id", "text", "following").mapInArrow(close, RESULT))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
