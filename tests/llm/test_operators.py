@@ -57,33 +57,77 @@ def test_toxicity_defined_cases(spark):
 # --- op2
 
 
-def test_raking_meets_every_margin():
+def plain_chances(cells, targets, share):
+    """Raked probabilities of ``{cell: weight}`` in plain loops, with the budget met by sorting."""
+    total = sum(cells.values())
+    w = dict(cells)
+    goals = []
+    for i, want in enumerate(targets):
+        now = {}
+        for c, x in cells.items():
+            now[c[i]] = now.get(c[i], 0) + x
+        g = want(now)
+        goals.append({v: g[v] / sum(g.values()) for v in now})
+    for _ in range(2000):
+        for i, g in enumerate(goals):
+            now = {}
+            for c, x in w.items():
+                now[c[i]] = now.get(c[i], 0) + x
+            w = {c: x * g[c[i]] / now[c[i]] for c, x in w.items()}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        got = sum(cells[c] * min(1, mid * w[c] * total / cells[c]) for c in cells)
+        low, high = (mid, high) if got < share * total else (low, mid)
+    return {c: min(1, low * w[c] * total / cells[c]) for c in cells}
+
+
+def test_raking_meets_every_margin(spark):
     rng = random.Random(1)
-    cells = [(a, b, c, rng.uniform(1, 9)) for a in "xyz" for b in "pq" for c in "mn"]
-    want = [{"x": 0.5, "y": 0.3, "z": 0.2}, {"p": 0.6, "q": 0.4}, {"m": 0.1, "n": 0.9}]
-    w = mixing.rake(cells, want)
-    for i, t in enumerate(want):
+    cells = [(a, b, c, rng.uniform(1, 9)) for a in ("x", "y", None, "-") for b in "pq" for c in "mn"]
+    want = {"a": {"x": 0.4, "y": 0.3, None: 0.2, "-": 0.1}, "b": {"p": 0.6, "q": 0.4}, "c": {"m": 0.1, "n": 0.9}}
+    frame = spark.createDataFrame(cells, "a string, b string, c string, weight double")
+    out = mixing.rake(spark, frame, {m: mixing.fixed(t) for m, t in want.items()}).collect()
+    for i, (m, t) in enumerate(want.items()):
         for v, share in t.items():
-            assert sum(x for c, x in zip(cells, w) if c[i] == v) == pytest.approx(share)
-
-
-def test_raking_on_frames_agrees(spark, monkeypatch):
-    docs = documents(spark, ["a b c " * n for n in range(1, 60)]).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 4)).withColumn("lang", F.when(F.col("doc_id") % 3 > 0, "en"))
-    one = {r["doc_id"]: r["keep_probability"] for r in mixing.sampling(spark, docs).collect()}
-    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
-    two = {r["doc_id"]: r["keep_probability"] for r in mixing.sampling(spark, docs).collect()}
-    assert one.keys() == two.keys() == set(range(59))
-    assert all(abs(one[i] - two[i]) < 1e-3 for i in one)
+            assert sum(r["raked"] for r in out if r[f"own_{i}"] == v) == pytest.approx(share, abs=1e-9)
+    with pytest.raises(RuntimeError):
+        mixing.rake(spark, frame, {m: mixing.fixed(t) for m, t in want.items()}, rounds=1, together=1, tolerance=1e-300)
+
+
+def test_mixing_query_against_plain_loops(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = common.table(spark, sf, "documents").collect()
+
+    def topic(t):
+        return "table" if " | " in t else "noise" if "%%%" in t or "***" in t else "licence" if "icense" in t else "note" if len(t) < 500 else "article" if len(t) < 5000 else "book"
+
+    cells, of = {}, {}
+    for r in docs:
+        t = r["text"] or ""
+        of[r["doc_id"]] = (r["source"], r["lang"], topic(t))
+        cells[of[r["doc_id"]]] = cells.get(of[r["doc_id"]], 0) + max(1, -(-len(t) // 4))
+    power = lambda a, down=None: lambda now: {v: x**a * (down or {}).get(v, 1) for v, x in now.items()}
+    want = plain_chances(cells, [power(0.5), power(0.7), power(1.0, {"noise": 0.25})], 0.5)
+    every = {r["doc_id"]: r for r in mixing.sampling(spark, common.table(spark, sf, "documents")).collect()}
+    assert every.keys() == of.keys()
+    assert all(abs(every[i]["keep_probability"] - want[c]) < 1e-8 for i, c in of.items())
+    drawn = {r["doc_id"]: r["d"] for r in spark.createDataFrame([(i,) for i in of], "doc_id long").select("doc_id", mixing.draw().alias("d")).collect()}
+    kept = {r["doc_id"]: r for r in mixing.op2_mixing(spark, sf).collect()}
+    assert kept.keys() == {i for i, d in drawn.items() if d < every[i]["keep_probability"]}
+    assert all((r["source"], r["lang"], r["topic"]) == of[i] for i, r in kept.items())
 
 
 def test_sample_meets_the_budget_and_the_targets(spark):
     docs = documents(spark, ["w " * 40] * 4000).withColumn("source", F.when(F.col("doc_id") % 10 < 8, "big").otherwise("small"))
-    targets = {"source": lambda now: {"big": 0.5, "small": 0.5}}
-    kept = mixing.sample(spark, docs, targets, share=0.3, derived={}).groupBy("source").count().collect()
+    clash = {c: F.lit("clash") for c in ("tokens", "keep_probability", "_p", "_tokens", "n", "m_0", "row", "weight", "raked", "_m_source", "k_m_0")}
+    targets = {"source": mixing.fixed({"big": 0.5, "small": 0.5})}
+    kept = mixing.sample(spark, docs.withColumns(clash), targets, share=0.3, derived={}).groupBy("source").count().collect()
     n = {r["source"]: r["count"] for r in kept}
     assert abs(sum(n.values()) - 1200) < 100 and abs(n["big"] - n["small"]) < 100
     assert mixing.sample(spark, docs.limit(0)).count() == 0
-    assert mixing.sampling(spark, documents(spark, ODD)).count() == len(ODD)
+    assert mixing.sampling(spark, documents(spark, ODD).withColumn("topic", F.lit(1))).count() == len(ODD)
+    assert {r["keep_probability"] for r in mixing.sampling(spark, docs, targets, share=1.0, derived={}).collect()} == {1.0}
 
 
 # --- op3
@@ -202,6 +246,37 @@ def test_rare_kinds_are_redacted(spark):
         assert {r["doc_id"]: r["text"] for r in found.collect()} == {1: "write to [EMAIL] now", 2: "call [PHONE] now", 3: "pay [CARD] now", 4: "host [IP] now"}
 
 
+def test_fitted_trees_add_looser_forms_and_leave_look_alikes(spark):
+    rng = random.Random(7)
+    card = lambda: next(c for c in iter(lambda: f"4{rng.randrange(10**15):015d}", None) if luhn(c))
+    rows = []
+    for i in range(400):
+        c, p = card(), f"{rng.randrange(200, 999)} {rng.randrange(200, 999)}-{rng.randrange(10**4):04d}"
+        said = [f"write to u{i}@site{i % 7}.org", f"phone +1 {p}", f"card {c[:4]} {c[4:8]} {c[8:12]} {c[12:]}", f"host 10.{i % 256}.3.{i % 99}"][i % 4]
+        rows.append((i, f"In {1900 + i % 99} some {i * 37} of 1{i}.{i % 90} units (12/{i % 28}/2001) were sold, v1.{i}.2; {said} for more."))
+    loose = {1000: ("email", "jane.doe [at] example [dot] org"), 1001: ("phone", "555 123 4567"), 1002: ("card", "4111.1111.1111.1111"), 1003: ("ip", "2001:db8:0:0:0:0:0:1")}
+    alike = {1004: "card 4111.1111.1111.1112", 1005: "on 12/05/2001 and 13.14.15", 1006: "a list (at most 3) of 100 200 300", 1007: "ratio 1:2:3:4"}
+    docs = spark.createDataFrame([*rows, *((i, f"please use {t} soon") for i, (_, t) in loose.items()), *alike.items()], "doc_id long, text string")
+    model = pii.fit(docs)
+    assert model.trees and all(t > pii.DEFAULT for t in model.thresholds.values())
+    got = {r["doc_id"]: r["s"] for r in pii.with_spans(docs, model).select("doc_id", pii.listed(F.col("pii_spans")).alias("s")).collect()}
+    for i, (kind, t) in loose.items():
+        assert got[i] == f"{kind}:11:{11 + len(t)}", (i, model.thresholds)
+    assert all(got[i] == "" for i in alike)
+    assert all(got[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in plain_spans(t)) for i, t in rows)
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    import time
+
+    text = "see a@b.org or 10.0.0.1; " * 50_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = pii.with_spans(docs, pii.Detector([], {"phone": pii.DEFAULT})).select(F.size("pii_base").alias("n"), F.length(pii.redacted(F.col("text"), F.col("pii_spans"))).alias("size")).first()
+    assert (row["n"], row["size"]) == (100_000, 50_000 * len("see [EMAIL] or [IP]; "))
+    assert time.time() - began < 60
+
+
 def test_trees_as_column_score_like_trees(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(0, 9, (300, len(pii.FEATURES))).astype(float)

@@ -5,27 +5,32 @@ margin has its target share. A document is then kept with a probability in propo
 the expected tokens meet the budget; probabilities stop at 1 and what they lose goes to the others. The choice is by a
 hash of the id, so it is the same in every run and for every partitioning.
 
-Cells are as many as combinations that occur. Up to ``DRIVER_CELLS`` of them are raked in the driver's memory, more
-by the same steps on DataFrames.
+Cells are as many as combinations that occur. They are raked as a DataFrame whatever their number: a round of a margin is an aggregate
+over its values and an equi-join, and the scale that meets the budget is found by bisection on one aggregate. A few rounds are planned together and
+written down before the largest error is looked at; without convergence after all rounds there is an error. Nothing is collected but single rows,
+and targets are expressions over a margin's weights.
+
+A text's weight is a quarter of its code points unless ``weight`` names another measure: counting by the vocabulary of the encoding
+operator would encode the corpus twice.
 
 Defined cases: nulls in a margin column are a value of their own; a null or empty text has one token; rows with one id
 are kept or dropped together, and rows with a null id share one draw; targets for values that don't occur are left out and
-the rest is rescaled; an empty table gives an empty one. Columns other than those named are passed through.
+the rest is rescaled; an empty table gives an empty one. Other columns are passed through, whatever their names; ``tokens`` and
+``keep_probability`` replace columns of these names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialised, table
 
-DRIVER_CELLS = 200_000
-NULL = "\x00null"
-Targets = dict[str, Callable[[dict[str, float]], dict[str, float]]]
+#: Of a margin's values and their weights ``_value`` and ``_weight``, the wanted weights
+Targets = dict[str, Callable[[Column, Column], Column]]
 
 
 def tokens(text: str = "text") -> Column:
@@ -42,113 +47,103 @@ def topic(text: str = "text") -> Column:
     )
 
 
-def tempered(alpha: float, least: dict[str, float] | None = None) -> Callable[[dict[str, float]], dict[str, float]]:
+def tempered(alpha: float, factors: dict[str, float] | None = None) -> Callable[[Column, Column], Column]:
     """Targets in proportion to the present weights to the power ``alpha``, some values scaled further."""
-    return lambda now: {k: v**alpha * (least or {}).get(k, 1.0) for k, v in now.items()}
+
+    def wanted(value: Column, weight: Column) -> Column:
+        scale = F.lit(1.0)
+        for name, by in (factors or {}).items():
+            scale = F.when(value.eqNullSafe(F.lit(name)), by).otherwise(scale)
+        return F.pow(weight, F.lit(alpha)) * scale
+
+    return wanted
+
+
+def fixed(shares: dict[str, float]) -> Callable[[Column, Column], Column]:
+    """Targets by value; a value that isn't named gets none."""
+
+    def wanted(value: Column, weight: Column) -> Column:
+        out = F.lit(0.0)
+        for name, share in shares.items():
+            out = F.when(value.eqNullSafe(F.lit(name)), share).otherwise(out)
+        return out
+
+    return wanted
 
 
 #: of the query
 TARGETS: Targets = {"source": tempered(0.5), "lang": tempered(0.7), "topic": tempered(1.0, {"noise": 0.25})}
 
 
-def shares(target: dict[str, float]) -> dict[str, float]:
-    total = sum(target.values())
-    return {k: v / total for k, v in target.items()}
-
-
-def rake(cells: list[tuple], targets: list[dict[str, float]], rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
-    """Raked weights of ``cells``, each (value of every margin ..., weight); ``targets`` are shares that sum to 1."""
-    w = np.array([c[-1] for c in cells], float)
-    w /= w.sum()
-    index, goal = [], []
-    for m, t in enumerate(targets):
-        values = sorted(t)
-        at = {v: i for i, v in enumerate(values)}
-        index.append(np.array([at[c[m]] for c in cells]))
-        goal.append(np.array([t[v] for v in values]))
-    for _ in range(rounds):
-        worst = 0.0
-        for i, g in zip(index, goal):
-            now = np.bincount(i, weights=w, minlength=len(g))
-            factor = np.divide(g, now, out=np.ones_like(g), where=now > 0)
-            worst = max(worst, float(np.abs(factor - 1).max()))
-            w *= factor[i]
-        if worst < tolerance:
-            break
-    return w
-
-
-def rake_frame(spark: SparkSession, cells: DataFrame, margins: list[str], targets: list[dict[str, float]], rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
-    """The same steps on a DataFrame of cells ``(margins ..., weight)``; adds ``raked``."""
-    total = cells.agg(F.sum("weight")).first()[0]
-    now = cells.withColumn("raked", F.col("weight") / total)
-    for _ in range(rounds):
-        worst = 0.0
-        for m, t in zip(margins, targets):
-            goal = spark.createDataFrame(sorted(t.items()), f"{m} string, goal double")
-            factors = materialised(spark, now.groupBy(m).agg(F.sum("raked").alias("s")).join(goal, m).select(m, F.coalesce(F.try_divide("goal", "s"), F.lit(1.0)).alias("f")), "rake")
-            worst = max(worst, factors.agg(F.max(F.abs(F.col("f") - 1))).first()[0])
-            now = now.join(factors, m).withColumn("raked", F.col("raked") * F.col("f")).select(*margins, "weight", "raked")
+def rake(spark: SparkSession, cells: DataFrame, targets: Targets, rounds: int = 200, together: int = 5, tolerance: float = 1e-10) -> DataFrame:
+    """``cells(margins ..., weight)``, one column of each target's name, with ``raked``, whose margins have the target shares.
+
+    Every margin's value is null-safe; RuntimeError where a margin is off by over ``tolerance`` after all rounds.
+    """
+    margins = list(targets)
+    # a value is made a string with a mark, so that a null is a value like others
+    keyed = cells.select(*(F.when(F.col(m).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(m))).alias(m) for m in margins), "weight", *(F.col(m).alias(f"own_{i}") for i, m in enumerate(margins)))
+    now = keyed.withColumn("raked", F.col("weight"))
+    for i, (m, wanted) in enumerate(targets.items()):
+        by = keyed.groupBy(m).agg(F.sum("weight").alias("_weight"), F.first(f"own_{i}").alias("_value"))
+        goal = by.select(m, wanted(F.col("_value"), F.col("_weight")).alias("g"))
+        share = goal.crossJoin(goal.agg(F.sum("g").alias("all")))  # one row
+        now = now.join(share.select(m, F.try_divide("g", "all").alias(f"goal_{i}")), m)
+    now = materialised(spark, now, "raked")
+    for _ in range(0, rounds, together):
+        for _ in range(together):
+            for i, m in enumerate(margins):
+                seen = F.sum("raked").over(Window.partitionBy(m))
+                # a value without weight left stays without
+                now = now.withColumn("raked", F.col("raked") * F.coalesce(F.try_divide(F.col(f"goal_{i}"), seen), F.lit(0.0)))
         now = materialised(spark, now, "raked")
-        if worst < tolerance:
-            break
-    return now
-
-
-def budget_scale(ratio: np.ndarray, weight: np.ndarray, budget: float) -> float:
-    """c at which ``sum(weight * min(1, c * ratio))`` is the budget."""
-    if not len(ratio) or budget >= weight.sum():
-        return float("inf")
-    order = np.argsort(-ratio)
-    r, w = ratio[order], weight[order]
-    full = np.concatenate(([0.0], np.cumsum(w)))  # tokens of the cells that are kept whole
-    rest = (w * r)[::-1].cumsum()[::-1]
-    for i in range(len(r)):
-        c = (budget - full[i]) / rest[i]
-        if c * r[i] <= 1:
-            return float(c)
-    return float("inf")
-
-
-def sampling(spark: SparkSession, docs: DataFrame, targets: Targets = TARGETS, share: float = 0.5, seed: int = 29, derived: dict[str, Column] | None = None) -> DataFrame:
+        off = [now.groupBy(m).agg(F.abs(F.sum("raked") - F.first(f"goal_{i}")).alias("e")).agg(F.max("e").alias("e")) for i, m in enumerate(margins)]
+        worst = reduce(DataFrame.unionByName, off).agg(F.max("e")).first()[0] if off else 0.0
+        if worst is None or worst < tolerance:
+            return now
+    raise RuntimeError(f"raking is off by {worst} after {rounds} rounds")
+
+
+def chances(spark: SparkSession, cells: DataFrame, targets: Targets, share: float) -> DataFrame:
+    """``raked`` cells with ``_p``: the least of 1 and the cell's factor, scaled so that the expected weight meets the budget."""
+    raked = rake(spark, cells, targets) if targets else cells.withColumn("raked", F.col("weight"))
+    total = raked.agg(F.sum("weight")).first()[0] or 0.0
+    ratio = F.col("raked") * total / F.col("weight")
+    raked = materialised(spark, raked.withColumn("ratio", ratio), "ratios")
+    kept = raked.agg(F.sum(F.when(F.col("ratio") > 0, F.col("weight")))).first()[0] or 0.0
+    if share * total >= kept:  # all that any target wants is kept
+        return raked.withColumn("_p", F.when(F.col("ratio") > 0, 1.0).otherwise(0.0))
+    # the expected weight is a concave broken line in the scale; its slope at a point leads to the next one, never beyond the root
+    c, budget = 0.0, share * total
+    for _ in range(200):
+        full = F.col("ratio") * c >= 1
+        at = raked.agg(F.sum(F.when(full, F.col("weight")).otherwise(F.col("weight") * F.col("ratio") * c)).alias("now"), F.sum(F.when(~full, F.col("weight") * F.col("ratio"))).alias("slope")).first()
+        step = (budget - at["now"]) / at["slope"] if at["slope"] else 0.0
+        if step <= 1e-15 * max(c, 1.0):
+            return raked.withColumn("_p", F.least(F.lit(1.0), F.col("ratio") * c))
+        c += step
+    raise RuntimeError("no scale meets the budget")
+
+
+def sampling(
+    spark: SparkSession, docs: DataFrame, targets: Targets = TARGETS, share: float = 0.5, derived: dict[str, Column] | None = None, weight: Column | None = None
+) -> DataFrame:
     """``docs`` with ``tokens`` and ``keep_probability``, and each margin that isn't a column as ``derived`` says.
 
-    ``share`` is the budget as a part of all tokens.
+    ``share`` is the budget as a part of all tokens. ``weight`` is a text's tokens, by default ``tokens()``.
     """
     derived = {"topic": topic()} if derived is None else derived
-    margins = [f"_m_{m}" for m in targets]
-    value = lambda m: F.coalesce((derived[m] if m in derived else F.col(m)).cast("string"), F.lit(NULL))
-    weighed = docs.withColumns({"_tokens": tokens(), **{c: value(m) for c, m in zip(margins, targets)}})
-    cells = weighed.groupBy(*margins).agg(F.sum("_tokens").cast("double").alias("weight"))
-    n_cells = cells.count()
-    goals = []
-    for c, want in zip(margins, targets.values()):
-        now = {r[0]: r[1] for r in cells.groupBy(c).agg(F.sum("weight")).collect()}
-        wanted = {k: v for k, v in want(now).items() if k in now}
-        goals.append(shares(wanted | {k: 0.0 for k in now if k not in wanted}) if now else {})
-    kind = ", ".join(f"`{c}` string" for c in margins) + ", _p double"
-    if n_cells <= DRIVER_CELLS:
-        rows = [tuple(r) for r in cells.collect()]
-        if rows:
-            raked, weight = rake(rows, goals), np.array([r[-1] for r in rows])
-            ratio = raked * weight.sum() / weight
-            c = budget_scale(ratio, weight, share * weight.sum())
-            chance = np.ones(len(rows)) if np.isinf(c) else np.minimum(1, c * ratio)
-            rows = [(*r[:-1], float(p)) for r, p in zip(rows, chance)]
-        chances = F.broadcast(spark.createDataFrame(rows, kind))  # DRIVER_CELLS rows at most
-    else:
-        raked = rake_frame(spark, cells, margins, goals)
-        total = raked.agg(F.sum("weight")).first()[0]
-        ratio = F.col("raked") * total / F.col("weight")
-        low, high = 0.0, 1e9
-        for _ in range(60):  # bisection on one aggregate
-            mid = (low + high) / 2
-            got = raked.agg(F.sum(F.col("weight") * F.least(F.lit(1.0), ratio * mid))).first()[0]
-            low, high = (mid, high) if got < share * total else (low, mid)
-        chances = raked.select(*margins, F.least(F.lit(1.0), ratio * high).alias("_p"))
-    joined = weighed.join(chances, margins)
-    extra = {m: F.when(F.col(c) == NULL, None).otherwise(F.col(c)) for m, c in zip(targets, margins) if m in derived}
-    return joined.withColumns(extra).withColumnsRenamed({"_tokens": "tokens", "_p": "keep_probability"}).drop(*margins)
+    held = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if docs.columns else F.struct().alias("row")
+    value = lambda m: (derived[m] if m in derived else F.col(m)).cast("string")
+    weighed = docs.select(held, (tokens() if weight is None else weight).alias("n"), *(value(m).alias(f"m_{i}") for i, m in enumerate(targets)))
+    margins = [f"m_{i}" for i in range(len(targets))]
+    cells = materialised(spark, weighed.groupBy(*margins).agg(F.sum("n").cast("double").alias("weight")), "cells")
+    known = chances(spark, cells, dict(zip(margins, targets.values())), share)
+    # raked margins are marked, the documents' are not
+    mark = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(c)))
+    joined = weighed.join(known.select(*(F.col(c).alias(f"k_{c}") for c in margins), "_p"), [mark(c) == F.col(f"k_{c}") for c in margins]) if margins else weighed.crossJoin(known.select("_p"))
+    made = {"tokens": F.col("n"), "keep_probability": F.col("_p")} | {m: F.col(f"m_{i}") for i, m in enumerate(targets) if m in derived}
+    return joined.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in made), *(c.alias(n) for n, c in made.items()))
 
 
 def draw(id_col: str = "doc_id", seed: int = 29) -> Column:
@@ -156,9 +151,11 @@ def draw(id_col: str = "doc_id", seed: int = 29) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
 
 
-def sample(spark: SparkSession, docs: DataFrame, targets: Targets = TARGETS, share: float = 0.5, seed: int = 29, derived: dict[str, Column] | None = None) -> DataFrame:
+def sample(
+    spark: SparkSession, docs: DataFrame, targets: Targets = TARGETS, share: float = 0.5, seed: int = 29, derived: dict[str, Column] | None = None, weight: Column | None = None
+) -> DataFrame:
     """The kept documents, with ``tokens`` and ``keep_probability``."""
-    return sampling(spark, docs, targets, share, seed, derived).where(draw(seed=seed) < F.col("keep_probability"))
+    return sampling(spark, docs, targets, share, derived, weight).where(draw(seed=seed) < F.col("keep_probability"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
