@@ -401,10 +401,28 @@ def test_conversations_defined_cases(spark):
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
     got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.gathered(frame).collect()}
     assert got == {1: [("user", "a"), ("", "")], 2: [("user", "first"), ("assistant", "")]}
-    assert chat.format_preferences(chat.with_other_reply(chat.gathered(frame))).count() == 2
+    assert chat.format_preferences(chat.with_other_reply(frame)).count() == 0  # one reply only
+    assert chat.with_other_reply(frame.limit(0)).count() == 0
+    more = spark.createDataFrame([(9, 0, "user", "q"), (9, 1, "assistant", "good"), (9, 2, "user", "thanks"), (40, 0, "assistant", "other"), (41, 0, "assistant", "other"), (50, 0, "user", "alone")], "conv_id long, turn long, role string, text string")
+    rows = {r["pair_id"]: r for r in chat.with_other_reply(more.withColumn("reply", F.lit(1)).withColumn("next", F.lit(2))).collect()}
+    assert {i: (r["chosen"][-1]["text"], r["rejected"][-1]["text"], len(r["chosen"])) for i, r in rows.items()} == {9: ("good", "other", 2), 41: ("other", "good", 1)}
+    ids = spark.createDataFrame([(i * i * 7 - 90,) for i in range(60)], "conv_id long")
+    want = sorted(r["conv_id"] for r in ids.collect())
+    assert {tuple(r) for r in chat.next_ids(ids, 4).collect()} == set(zip(want, want[1:] + want[:1]))
     assert chat.gathered(frame.limit(0)).count() == 0
 
 
+def test_preferences_query_against_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("create view conversations as select * from read_parquet('/root/testdata/sf0.01/conversations.parquet')")
+    found = con.sql(chat.SQL)
+    out = chat.op7_preferences(spark, "/root/testdata/sf0.01")
+    assert sorted(map(tuple, out.select(*found.columns).collect())) == sorted(found.fetchall())
+    assert out.where("chosen = '' or rejected = '' or chosen = rejected").count() == 0
+
+
 # --- op8
 
 

@@ -13,10 +13,10 @@ columns are not looked at. A conversation's turns are gathered into one row, as
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let, running, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
@@ -47,15 +47,15 @@ def rendered(turns: Column) -> Column:
 
 def mask(turns: Column) -> Column:
     """``array<struct<start, end>>`` of the trained code points in ``rendered(turns)``."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    parts = F.transform(turns, lambda t: F.struct((t["role"] == TRAINED_ROLE).alias("own"), F.length(_head(t)).alias("head"), F.length(_body(t)).alias("body")))
 
-    def step(state: Column, t: Column) -> Column:
-        start = state["at"] + F.length(_head(t))
-        end = start + F.length(_body(t))
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(t["role"] == TRAINED_ROLE, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+    def placed(p: Column) -> Column:
+        before = running(F.transform(p, lambda x: x["head"] + x["body"]), lambda a, x: a + x)
+        span = lambda x, at: F.struct((at + x["head"]).alias("start"), (at + x["head"] + x["body"]).alias("end"), x["own"].alias("own"))
+        every = let(before, lambda b: F.transform(p, lambda x, i: span(x, F.get(b, i))))
+        return F.transform(F.filter(every, lambda s: s["own"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    return F.aggregate(turns, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
+    return let(parts, placed)
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -79,20 +79,42 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     )
 
 
-def with_other_reply(conversations: DataFrame) -> DataFrame:
-    """``(pair_id, chosen, rejected)``: the rejected side has the last reply of the conversation with the next id.
+def last_replies(turns: DataFrame) -> DataFrame:
+    """``(conv_id, reply)``: the last assistant turn of each conversation that has one, as ``struct<role, text>``."""
+    text = F.coalesce("text", F.lit(""))
+    last = turns.where((F.col("role") == TRAINED_ROLE) & F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.max(F.struct("turn", text.alias("text"))).alias("t"))
+    return last.select("conv_id", F.struct(F.lit(TRAINED_ROLE).alias("role"), F.col("t.text").alias("text")).alias("reply"))
 
-    A corpus of plain conversations has no rejected side; a reply from elsewhere is the usual negative. Only a
-    conversation that ends in an assistant turn gets one; without a next conversation, or without a reply in it, the rejected reply
-    is missing.
+
+def next_ids(ids: DataFrame, rows: int = 65536) -> DataFrame:
+    """``(conv_id, next)``: the next id of distinct ones, the least after the greatest.
+
+    Ids are parted into ranges of about ``rows`` of them; a range's last id is followed by the first of the next filled range,
+    which is looked up among a row for each range.
+    """
+    known = ids.agg(F.min("conv_id").alias("a"), F.max("conv_id").alias("b"), F.count("*").alias("n")).first()
+    width = max(1, (known["b"] - known["a"] + 1) * rows // known["n"]) if known["n"] else 1
+    parted = ids.select("conv_id", F.floor(F.col("conv_id") / F.lit(width)).alias("part"))
+    inside = parted.withColumn("own", F.lead("conv_id").over(Window.partitionBy("part").orderBy("conv_id")))
+    heads = parted.groupBy("part").agg(F.min("conv_id").alias("head"))
+    order = Window.orderBy("part")
+    after = heads.select("part", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("after"))
+    return inside.join(after, "part").select("conv_id", F.coalesce("own", "after").alias("next"))
+
+
+def with_other_reply(turns: DataFrame) -> DataFrame:
+    """``(pair_id, chosen, rejected)`` of each conversation with a reply: up to its last reply, and with the last reply of the next one instead.
+
+    A corpus of plain conversations has no rejected side; a reply from elsewhere is the usual negative. The next conversation is the one
+    with the next id that has a reply, the first one after the last. What follows the last reply is left out. Conversations
+    without a reply, and those whose next reply is the same, give no pair.
     """
-    replies = conversations.select((F.col("conv_id") - 1).alias("conv_id"), F.filter("turns", lambda t: t["role"] == TRAINED_ROLE).alias("own"))
-    other = F.when(F.size("own") > 0, F.slice("own", -1, 1)).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
-    ends = F.element_at("turns", -1)["role"] == TRAINED_ROLE
-    none = F.array().cast("array<struct<role:string,text:string>>")
-    joined = conversations.join(replies.select("conv_id", other.alias("other")), "conv_id", "left")
-    swapped = F.concat(F.slice("turns", 1, F.size("turns") - 1), F.coalesce("other", none))
-    return joined.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.when(ends, swapped).otherwise(F.col("turns")).alias("rejected"))
+    replies = last_replies(turns)
+    other = next_ids(replies.select("conv_id")).join(replies.select(F.col("conv_id").alias("next"), F.col("reply").alias("other")), "next")
+    at = F.size("turns") + 1 - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"] == TRAINED_ROLE)), F.lit(True)).cast("int")
+    ended = gathered(turns).join(other.select("conv_id", "other"), "conv_id").select("conv_id", F.slice("turns", 1, at).alias("chosen"), "other")
+    swapped = F.concat(F.slice("chosen", 1, F.size("chosen") - 1), F.array("other"))
+    return ended.where(F.element_at("chosen", -1)["text"] != F.col("other.text")).select(F.col("conv_id").alias("pair_id"), "chosen", swapped.alias("rejected"))
 
 
 def spans(mask_col: str) -> Column:
@@ -100,8 +122,7 @@ def spans(mask_col: str) -> Column:
 
 
 def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = with_other_reply(gathered(table(spark, sf_dir, "conversations")))
-    out = format_preferences(pairs)
+    out = format_preferences(with_other_reply(table(spark, sf_dir, "conversations")))
     return out.select("pair_id", "n_prompt_turns", "prompt", "chosen", spans("chosen_mask").alias("chosen_mask"), "rejected", spans("rejected_mask").alias("rejected_mask"))
 
 
@@ -110,12 +131,13 @@ with t as (
   select conv_id, turn, coalesce(role, '') role, coalesce(text, '') "text" from (select distinct conv_id, turn, role, "text" from conversations) where conv_id is not null
 ), g as (
   select conv_id, list({'role': role, 'text': "text"} order by turn nulls first, role, "text") turns from t group by 1
+), h as (
+  select conv_id, turns[:list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')[-1]] turns
+  from g where len(list_filter(turns, lambda x: x.role = 'assistant')) > 0
 ), o as (
-  select conv_id - 1 conv_id, list_filter(turns, lambda x: x.role = 'assistant')[-1:] other from g
+  select conv_id, turns, coalesce(lead(turns[-1]) over (order by conv_id), first_value(turns[-1]) over (order by conv_id)) other from h
 ), p as (
-  select conv_id pair_id, turns chosen,
-         case when turns[-1].role = 'assistant' then list_concat(turns[:-2], coalesce(other, [])) else turns end rejected
-  from g left join o using (conv_id)
+  select conv_id pair_id, turns chosen, list_concat(turns[:-2], [other]) rejected from o where turns[-1]."text" <> other."text"
 ), c as (
   select *, least(len(chosen), len(rejected)) n from p
 ), d as (
