@@ -77,14 +77,35 @@ def test_off_grid(spark):
 @given(st.lists(st.one_of(st.none(), st.integers(-9, 9)), min_size=1, max_size=30))
 def test_interpolation_is_that_of_numpy(spark, values):
     got = column(panel.interpolated(series(spark, values), empty=0.0), "filled")
-    assert np.allclose(got, fc.fill(np.array([np.nan if v is None else v for v in values], float)))
+    assert np.allclose(got, numpy_fill(values))
 
 
-def test_fill_and_trim():
-    nan = float("nan")
-    assert fc.fill(np.array([nan, 1, nan, 3, nan])).tolist() == [1, 1, 2, 3, 3]
-    assert fc.trim(np.array([nan, nan, 1, nan])).tolist()[0] == 1 and len(fc.trim(np.array([nan, nan]))) == 1
-    assert fc.left_pad(np.array([2.0, 3.0]), 4).tolist() == [2, 2, 2, 3] and fc.round_up(33, 32) == 64
+def numpy_fill(values):
+    seen = [i for i, v in enumerate(values) if v is not None]
+    return np.interp(np.arange(len(values)), seen, [values[i] for i in seen]) if seen else np.zeros(len(values))
+
+
+def test_contexts_are_cut_and_filled(spark):
+    rng = random.Random(2)
+    every = [[None if rng.random() < 0.4 else float(rng.randrange(9)) for _ in range(rng.randint(1, 20))] for _ in range(60)] + [[None, None], [None, 1.0, None, 3.0, None]]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(every)], "i int, context array<double>")
+    got = {r["i"]: (r["a"], r["b"]) for r in rows.select("i", fc.observed_part(F.col("context"), 8).alias("a"), fc.without_gaps(F.col("context")).alias("b")).collect()}
+    for i, c in enumerate(every):
+        tail = c[-8:]
+        first = next((k for k, v in enumerate(tail) if v is not None), len(tail) - 1)
+        assert got[i][0] == tail[first:]
+        assert np.allclose(got[i][1], numpy_fill(c))
+
+
+def test_series_kept_by_the_state_of_the_files(spark, tmp_path):
+    from tidemark.session import kept
+
+    read = lambda: spark.read.parquet(f"{tmp_path}/t.parquet")
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    assert kept(spark, ("k", str(tmp_path)), read).count() == 3
+    assert kept(spark, ("k", str(tmp_path)), read) is kept(spark, ("k", str(tmp_path)), read)
+    spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+    assert kept(spark, ("k", str(tmp_path)), read).count() == 5
 
 
 def gappy(spark, years=5, seed=0):
@@ -150,8 +171,35 @@ def test_gap_matching(spark):
     assert (fc.assigned_donors(ids, 7) == fc.assigned_donors(np.arange(200), 7)[:50]).all()
     with pytest.raises(ValueError):
         fc.assigned_donors(ids, 0)
-    rows = spark.createDataFrame([([1.0, 2.0, 3.0], [True, False, True, False])], "context array<double>, missing array<boolean>")
-    assert rows.select(fc.apply_mask("context", "missing")).first()[0] == [1.0, None, 3.0]
+    rows = spark.createDataFrame([([1.0, 2.0, 3.0], [True, False, True, False]), ([1.0, 2.0, 3.0], [True]), ([], [True])], "context array<double>, missing array<boolean>")
+    assert [r[0] for r in rows.select(fc.apply_mask("context", "missing")).collect()] == [[1.0, None, 3.0], [1.0, 2.0, None], []]
+    kind = "track string, var string, series_id string, origin date, context array<double>"
+    owners = spark.createDataFrame([("t", "v", "s", DAY, [1.0, None, 3.0])], kind)
+    assert [fc.donor_masks(owners, n).first()["missing"] for n in (2, 3, 5)] == [[True, False], [False, True, False], [True, True, False, True, False]]
+    with pytest.raises(ValueError):
+        fc.donor_masks(owners.limit(0), 2)
+
+
+def test_gap_matched_query_against_numpy(spark):
+    from tidemark.plans import series_queries as sq
+    from tidemark.plans import study_queries as st_q
+
+    sf = "/root/testdata/sf0.01"
+    days = {}
+    for r in sq.ship(spark, sf).collect():
+        days.setdefault((r["track"], r["series_id"], r["var"]), {})[r["date"]] = r["y"]
+    windows = sorted((r["track"], r["series_id"], r["var"], r["origin"]) for r in sq.test_windows(sq.ship(spark, sf)).collect())
+    cut = lambda w: [days[w[:3]][d] for d in sorted(days[w[:3]]) if d <= w[3]][-64:]
+    got = {r["window_id"]: r for r in st_q.h13_gap_matching(spark, sf).collect()}
+    assert sorted(got) == list(range(len(windows)))
+    donors = {v: [w for w in windows if w[2] == v] for v in {w[2] for w in windows}}
+    draw = {v: np.random.default_rng(0).integers(0, len(d), size=len(windows)) for v, d in donors.items()}
+    for i, w in enumerate(windows):
+        own, of = cut(w), cut(donors[w[2]][draw[w[2]][i]])
+        of = [None] * (64 - len(of)) + of
+        left = [x for x, m in zip(own, of[len(of) - len(own) :]) if x is not None and m is not None]
+        assert (got[i]["donor"], got[i]["kept"]) == (draw[w[2]][i], len(left))
+        assert got[i]["total"] == pytest.approx(sum(left), abs=1e-3)
 
 
 def test_forecaster_contract():
@@ -162,11 +210,11 @@ def test_forecaster_contract():
             return np.zeros((1, 2)), np.zeros((1, 9, 2))
 
     with pytest.raises(ValueError):
-        fc.checked(Wrong(), [np.zeros(3)] * 2, 2)
+        fc.predicted(Wrong(), [np.zeros(3)] * 2, 2)
     with pytest.raises(KeyError):
         fc.load("nothing")
     for name in fc.REGISTRY:
-        mean, q = fc.checked(fc.load(name), [np.arange(30.0), np.zeros(1)], 5)
+        mean, q = fc.predicted(fc.load(name), [np.arange(30.0), np.zeros(1)], 5)
         assert mean.shape == (2, 5) and (np.diff(q, axis=1) >= 0).all()
 
 
@@ -199,8 +247,12 @@ def test_diebold_mariano_against_numpy(spark):
 
 
 def test_bootstrap():
-    i = sg.block_indices(50, 8, np.random.default_rng(0))
-    assert len(i) == 50 and all((np.diff(i[a : a + 8]) == 1).all() for a in range(0, 48, 8))
+    every, rng = sg.resamples(50, 8, 5, 0), np.random.default_rng(0)
+    for i in every:  # one draw of all starts is the generator's sequence of single draws
+        starts = rng.integers(0, 43, size=7)
+        assert i.tolist() == [s + k for s in starts for k in range(8)][:50]
+    two = sg.bootstrap_ci([np.full((30, 1), 3.0), np.full((20, 1), 1.0)], lambda a, b: a[..., 0].mean(-1) - b[..., 0].mean(-1), draws=50)
+    assert two == (2.0, 2.0, 2.0)
     m, low, high = sg.bootstrap_ci(np.random.default_rng(1).normal(1, 1, (200, 1)), draws=300)
     assert low < m < high and high - low < 0.6
 
@@ -210,11 +262,11 @@ def test_bootstrap_query_draws_two_thousand(spark, monkeypatch):
 
     rng = np.random.default_rng(4)
     m = rng.gamma(4.0, 1.0, (60, 2))
-    rows = [(7, DAY + dt.timedelta(i), name, float(m[i, j])) for i in range(60) for j, name in enumerate(("persistence", "climatology"))]
-    monkeypatch.setattr(st_q, "origin_losses", lambda *_: spark.createDataFrame(rows, "lead int, origin date, model string, loss double"))
+    rows = [("v", 7, DAY + dt.timedelta(i), name, float(m[i, j])) for i in range(60) for j, name in enumerate(("persistence", "climatology"))]
+    monkeypatch.setattr(st_q, "origin_losses", lambda *_: spark.createDataFrame(rows, "var string, lead int, origin date, model string, loss double"))
     got = st_q.t5_t6_bootstrap(spark, "").first()
-    assert tuple(got)[1:] == pytest.approx(sg.bootstrap_ci(m, "skill", draws=2000), abs=2e-6)
-    assert tuple(got)[1:] != pytest.approx(sg.bootstrap_ci(m, "skill", draws=400), abs=2e-6)
+    assert tuple(got)[2:] == pytest.approx(sg.bootstrap_ci(m, "skill", draws=2000), abs=2e-6)
+    assert tuple(got)[2:] != pytest.approx(sg.bootstrap_ci(m, "skill", draws=400), abs=2e-6)
 
 
 def test_spatial(spark):

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row; named inside a lambda it would be computed at each step."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 QUANTILES = tuple(i / 10 for i in range(1, 10))
 QUANTILE_NAMES = tuple(f"q{q:g}" for q in QUANTILES)
 EARTH_KM = 6371.0

@@ -36,8 +36,13 @@ def windows(series: DataFrame, start: str, end: str, horizon: int = 30, stride:
 
 
 def numbered(windows: DataFrame, offset: int = 0) -> DataFrame:
-    """Ids in the order of track, series, variable and origin. Windows are few: series times origins."""
-    return windows.withColumn("window_id", F.row_number().over(Window.orderBy("track", "series_id", "var", "origin")) - 1 + offset)
+    """Ids in the order of track, series, variable and origin: the place inside the series after the windows of the series before it."""
+    sizes = windows.groupBy(*KEYS).agg(F.count("*").alias("_n"))
+    # one row for each series, in one task
+    before = F.sum("_n").over(Window.orderBy("track", "series_id", "var").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*KEYS, F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*KEYS).orderBy("origin"))
+    return windows.join(starts, KEYS).withColumn("window_id", F.col("_before") + own - 1 + offset).drop("_before")
 
 
 def check_windows(windows: DataFrame, start: str, end: str, horizon: int) -> None:
@@ -53,11 +58,14 @@ def check_windows(windows: DataFrame, start: str, end: str, horizon: int) -> Non
 
 
 def contexts(series: DataFrame, windows: DataFrame, length: int) -> DataFrame:
-    """As-of slices: the last ``length`` rows up to each origin, as ``context`` in order of date, nulls for gaps."""
-    days = windows.withColumn("date", F.explode(F.sequence(F.date_sub("origin", length - 1), F.col("origin"))))
-    joined = days.join(series.select(*KEYS, "date", "y", F.lit(True).alias("_in")), [*KEYS, "date"], "left").where("_in")
-    rows = joined.groupBy(*KEYS, "origin").agg(F.array_sort(F.collect_list(F.struct("date", "y"))).alias("r"))
-    return rows.select(*KEYS, "origin", F.transform("r", lambda x: x["y"]).alias("context"))
+    """As-of slices: the last ``length`` rows up to each origin, as ``context`` in order of date, nulls for gaps.
+
+    A densified series has a row a day, so a slice is a frame of rows; windows meet their slices by key, and no window is multiplied.
+    """
+    past = F.collect_list(F.struct("y")).over(by_series().rowsBetween(1 - length, 0))
+    at = windows.select(*KEYS, "origin").withColumn("date", F.col("origin"))
+    sliced = series.select(*KEYS, "date", F.transform(past, lambda x: x["y"]).alias("context"))
+    return sliced.join(at, [*KEYS, "date"]).select(*KEYS, "origin", "context")
 
 
 def targets(windows: DataFrame, horizon: int) -> DataFrame:
