@@ -32,12 +32,12 @@ TEXTS: dict[str, str | tuple[str, str]] = {
         "select l_orderkey, l_linenumber, 'l_discount' var, l_discount y from lineitem union all select l_orderkey, l_linenumber, 'l_tax', l_tax from lineitem",
     ),
     "p10_reindex": (
-        f"select k.d, x.q from (select explode(sequence(date'1996-02-01', date'1996-03-31')) d) k left join (select * from {DAY} where s = 'F') x on x.d = k.d",
-        f"select k.d, x.q from (select cast(unnest(generate_series(date'1996-02-01', date'1996-03-31', interval 1 day)) as date) d) k left join (select * from {DAY} where s = 'F') x on x.d = k.d",
+        f"select k.s, k.d, x.q from (select s, explode(sequence(a, b)) d from (select s, min(d) a, max(d) b from {DAY} group by s)) k left join {DAY} x on x.s = k.s and x.d = k.d",
+        f"select k.s, k.d, x.q from (select s, cast(unnest(generate_series(a, b, interval 1 day)) as date) d from (select s, min(d) a, max(d) b from {DAY} group by s)) k left join {DAY} x on x.s = k.s and x.d = k.d",
     ),
     "p11_expand": (
-        "select o_orderkey, lead from orders lateral view explode(sequence(1, 7)) t as lead where o_orderkey % 10 < 3",
-        "select o_orderkey, cast(unnest(generate_series(1, 7)) as int) lead from orders where o_orderkey % 10 < 3",
+        "select o_orderkey, lead from orders lateral view explode(sequence(1, 7)) t as lead",
+        "select o_orderkey, cast(unnest(generate_series(1, 7)) as int) lead from orders",
     ),
     "p12_bind": (
         "select s_suppkey, pair.n as n, pair.v as v from (select s_suppkey, explode(arrays_zip(array('a', 'b') as n, array(s_acctbal, s_acctbal * 2) as v)) pair from supplier)".replace(" as n, array(", ", array(").replace(" as v)) pair", ")) pair").replace("pair.n as n, pair.v as v", "pair.`0` as n, pair.`1` as v"),
@@ -66,8 +66,15 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "j7_index_intersection": f"select a.d, a.q as f, b.q as o from {DAY} a join {DAY} b on a.d = b.d and a.s = 'F' and b.s = 'O'",
     "j8_complete_rows": f"select d, f, o from (select d, max(case when s = 'F' then q end) f, max(case when s = 'O' then q end) o from {DAY} x group by d) where f is not null and o is not null",
     "j12_nearest": (
-        "select n_nationkey, min_by(s_suppkey, struct(abs(s_acctbal - 100 * n_nationkey), s_suppkey)) as near, round(min(abs(s_acctbal - 100 * n_nationkey)), 4) as dist from nation cross join (select /*+ broadcast */ s_suppkey, s_acctbal from supplier where s_nationkey < 10) s group by n_nationkey".replace("/*+ broadcast */ ", ""),
-        "select n_nationkey, arg_min(s_suppkey, (abs(s_acctbal - 100 * n_nationkey), s_suppkey)) as near, round(min(abs(s_acctbal - 100 * n_nationkey)), 4) as dist from nation cross join (select s_suppkey, s_acctbal from supplier where s_nationkey < 10) s group by n_nationkey",
+        # the values of the 25 nations cut the line into 26 parts; the ends of the nearest filled parts to either side hold the nearest supplier
+        """with e as (
+          select g, max(struct(v, -k as k)) as hi, min(struct(v, k)) as lo from (
+            select case when s_acctbal < 0 then -1 when s_acctbal >= 2400 then 24 else cast(floor(s_acctbal / 100) as int) end g, s_acctbal v, s_suppkey k from supplier) group by g
+        ), c as (
+          select n_nationkey, abs(hi.v - 100 * n_nationkey) dist, -hi.k k from (select n_nationkey, max_by(hi, g) hi from nation join e on g < n_nationkey group by n_nationkey)
+          union all select n_nationkey, abs(lo.v - 100 * n_nationkey), lo.k from (select n_nationkey, min_by(lo, g) lo from nation join e on g >= n_nationkey group by n_nationkey)
+        ) select n_nationkey, min_by(k, struct(dist, k)) as near, round(min(dist), 4) as dist from c group by n_nationkey""",
+        "select n_nationkey, arg_min(s_suppkey, (abs(s_acctbal - 100 * n_nationkey), s_suppkey)) as near, round(min(abs(s_acctbal - 100 * n_nationkey)), 4) as dist from nation cross join supplier group by n_nationkey",
     ),
     "j15_fallback": "select o_orderkey, coalesce(cast(a.s_suppkey as bigint), cast(b.c_custkey as bigint), -1) as ref, case when a.s_suppkey is not null then 'supplier' when b.c_custkey is not null then 'customer' else 'missing' end as src from orders left join (select s_suppkey from supplier where s_acctbal > 0) a on a.s_suppkey = o_custkey left join (select c_custkey from customer where c_acctbal > 0) b on b.c_custkey = o_custkey",
     "j_anti": "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
@@ -120,11 +127,17 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "w16_running_sum": f"select s, d, sum(case when q > 50 then q end) over (partition by s order by d rows between unbounded preceding and current row) as total from {DAY} x",
     "w17_top_n": "select n_nationkey, c_custkey, r from (select c_nationkey n_nationkey, c_custkey, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) r from customer) where r <= 5",
     "w18_pad": (
-        "select c_custkey, concat_ws('|', concat(array_repeat(own[0], 8 - size(own)), own)) as padded from (select c_custkey, array_sort(collect_list(cast(o_orderkey as string))) own from (select c_custkey, o_orderkey, row_number() over (partition by c_custkey order by o_orderkey) r from customer join orders on o_custkey = c_custkey) where r <= 5 group by c_custkey)",
-        "select c_custkey, array_to_string(list_concat(list_transform(range(8 - len(own)), lambda x: own[1]), own), '|') as padded from (select c_custkey, list_sort(list(cast(o_orderkey as varchar))) own from (select c_custkey, o_orderkey, row_number() over (partition by c_custkey order by o_orderkey) r from customer join orders on o_custkey = c_custkey) where r <= 5 group by c_custkey)",
+        "select c_custkey, concat_ws('|', concat(array_repeat(own[0], cast(ceil(size(own) / 8) * 8 - size(own) as int)), own)) as padded from (select c_custkey, array_sort(collect_list(cast(o_orderkey as string))) own from customer join orders on o_custkey = c_custkey group by c_custkey)",
+        "select c_custkey, array_to_string(list_concat(list_transform(range((ceil(len(own) / 8.0) * 8 - len(own))::bigint), lambda x: own[1]), own), '|') as padded from (select c_custkey, list_sort(list(cast(o_orderkey as varchar))) own from customer join orders on o_custkey = c_custkey group by c_custkey)",
     ),
     # 2.6 sorts and limits
-    "l1_sort": "select row_number() over (order by o_orderpriority, o_totalprice desc, o_orderkey) as n, o_orderkey from orders where o_orderkey < 500",
+    "l1_sort": (
+        # places inside parts of like price, after the parts before; the parts are counted first
+        """with o as (select o_orderkey, o_totalprice, o_orderpriority p, floor(o_totalprice / 1000) b from orders),
+        c as (select p, b, sum(n) over (order by p, b desc rows between unbounded preceding and 1 preceding) before from (select p, b, count(*) n from o group by p, b))
+        select coalesce(c.before, 0) + row_number() over (partition by o.p, o.b order by o_totalprice desc, o_orderkey) as n, o_orderkey from o join c on o.p = c.p and o.b = c.b""",
+        "select row_number() over (order by o_orderpriority, o_totalprice desc, o_orderkey) as n, o_orderkey from orders",
+    ),
     "l2_worst_ten": "select c_custkey, c_acctbal from customer order by c_acctbal, c_custkey limit 10",
     "l3_custom_order": "select o_orderpriority, case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 else 2 end as place, count(*) as n from orders group by o_orderpriority",
     "l4_sort_within": (

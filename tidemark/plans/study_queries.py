@@ -12,7 +12,8 @@ from tidemark.operators import forecasters as fc
 from tidemark.operators import labels, significance as sg
 from tidemark.operators.panel import by_series
 from tidemark.plans import series_queries as sq
-from tidemark.plans.series_queries import KEYS, TRAIN_END, WHOLE, rounded, scores, ship, sql
+from tidemark.plans.series_queries import INTEGRITY, KEYS, QTY, TRAIN_END, by_var, rounded, rounded_by_var, scores, ship, sql
+from tidemark.session import kept
 from tidemark.sources import tracks
 
 QUERIES: dict = {}
@@ -45,7 +46,7 @@ SMOOTH = f"""(select doy, smooth from (
 
 
 def national(spark, d):
-    return labels.national(ship(spark, d).where(WHOLE), 4).withColumn("series_id", F.lit("all"))
+    return labels.national(ship(spark, d).where(QTY), 4).withColumn("series_id", F.lit("all"))
 
 
 @query(f"select date, round(y, 7) y, n from {NATIONAL}")
@@ -88,13 +89,13 @@ LIMITS = f"""(select series_id, month, hot, cold, p95, p99 from (
 
 @query(f"select series_id, month::int as month, round(p95, 5) p95, round(p99, 5) p99, round(hot, 5) hot, round(cold, 5) cold from {LIMITS}")
 def b6_thresholds(spark, d):
-    return rounded(labels.thresholds(ship(spark, d).where(WHOLE), TRAIN_END, ["series_id"]))
+    return rounded(labels.thresholds(ship(spark, d).where(QTY), TRAIN_END, ["series_id"]))
 
 
 @query(f"""select series_id, date, coalesce(y >= p95, false) heavy, coalesce(y >= p99, false) very_heavy, coalesce(y > hot, false) hot, coalesce(y < cold, false) cold
   from (select * from ship where var = 'qty') x left join {LIMITS} t using (series_id) where t.month = month(x.date)""")
 def b7_extremes(spark, d):
-    x = ship(spark, d).where(WHOLE)
+    x = ship(spark, d).where(QTY)
     return labels.extremes(x, labels.thresholds(x, TRAIN_END, ["series_id"]), ["series_id"])
 
 
@@ -144,16 +145,12 @@ def small_windows(spark, d):
 
 @query()
 def h13_gap_matching(spark, d):
-    """Contexts of the shipping panel with the gaps of other windows' contexts."""
-    s = ship(spark, d).where(WHOLE)
+    """Contexts of the shipping panel with the gaps of other windows' contexts of their variable."""
+    s = ship(spark, d)
     w = ev.numbered(sq.test_windows(s))
-    contexts = ev.contexts(s, w.drop("window_id"), 64).join(w.select(*KEYS, "origin", "window_id"), [*KEYS, "origin"])
-    masks = fc.donor_masks(contexts, 64).withColumn("donor", F.row_number().over(Window.orderBy("series_id", "origin")) - 1)
-    ids = [r[0] for r in w.select("window_id").collect()]  # windows: series times origins
-    donor = spark.createDataFrame(list(zip(ids, map(int, fc.assigned_donors(ids, len(ids))))), "window_id int, donor int")
-    both = contexts.join(donor, "window_id").join(masks.select("donor", "missing"), "donor")
-    masked = F.filter(fc.apply_mask("context", "missing"), lambda v: v.isNotNull())
-    return both.select("window_id", "donor", F.size(masked).alias("kept"), F.round(F.aggregate(masked, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    contexts = ev.contexts(s, w, 64).join(w.select(*KEYS, "origin", "window_id"), [*KEYS, "origin"])
+    left = F.filter("masked", lambda v: v.isNotNull())
+    return fc.gap_matched(contexts, 64).select("window_id", "donor", F.size(left).alias("kept"), F.round(F.aggregate(left, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 def _plugin(name):
@@ -191,45 +188,45 @@ def m8_boosted_trees(spark, d):
 
 # --- statistics ---------------------------------------------------------------------------------------------------
 
-ORIGIN_LOSS = "(select model, track, var, lead, origin, avg(scaled_crps) loss from sc where lead in (1, 7, 30) and var = 'qty' group by all)"
-PAIRED = f"(select lead, origin, a.loss - b.loss d from {ORIGIN_LOSS} a join {ORIGIN_LOSS} b using (lead, origin) where a.model = 'climatology' and b.model = 'persistence')"
-LONG_RUN = f"""(select lead, n, m mean_diff, case when g0 + coalesce(more, 0) > 0 then g0 + coalesce(more, 0) else g0 end v from (
-   select lead, count(*) n, any_value(m) m, sum(c * c) / count(*) g0 from (select *, d - m c from (select *, avg(d) over (partition by lead) m from {PAIRED})) group by lead)
-   left join (select a.lead, sum(2 * (1 - (b.i - a.i) / (least(a.lead - 1, a.n - 1) + 1.0)) * a.c * b.c / a.n) more from
-     (select *, d - avg(d) over (partition by lead) c, count(*) over (partition by lead) n, row_number() over (partition by lead order by origin) i from {PAIRED}) a
-     join (select *, d - avg(d) over (partition by lead) c, row_number() over (partition by lead order by origin) i from {PAIRED}) b
-       on a.lead = b.lead and b.i > a.i and b.i - a.i <= least(a.lead - 1, a.n - 1) group by a.lead) using (lead))"""
+ORIGIN_LOSS = "(select model, track, var, lead, origin, avg(scaled_crps) loss from sc where lead in (1, 7, 30) group by all)"
+PAIRED = f"(select var, lead, origin, a.loss - b.loss d from {ORIGIN_LOSS} a join {ORIGIN_LOSS} b using (var, lead, origin) where a.model = 'climatology' and b.model = 'persistence')"
+LONG_RUN = f"""(select var, lead, n, m mean_diff, case when g0 + coalesce(more, 0) > 0 then g0 + coalesce(more, 0) else g0 end v from (
+   select var, lead, count(*) n, any_value(m) m, sum(c * c) / count(*) g0 from (select *, d - m c from (select *, avg(d) over (partition by var, lead) m from {PAIRED})) group by var, lead)
+   left join (select a.var, a.lead, sum(2 * (1 - (b.i - a.i) / (least(a.lead - 1, a.n - 1) + 1.0)) * a.c * b.c / a.n) more from
+     (select *, d - avg(d) over (partition by var, lead) c, count(*) over (partition by var, lead) n, row_number() over (partition by var, lead order by origin) i from {PAIRED}) a
+     join (select *, d - avg(d) over (partition by var, lead) c, row_number() over (partition by var, lead order by origin) i from {PAIRED}) b
+       on a.var = b.var and a.lead = b.lead and b.i > a.i and b.i - a.i <= least(a.lead - 1, a.n - 1) group by a.var, a.lead) using (var, lead))"""
+COMPARISON = ["var", "lead"]
 
 
 def origin_losses(spark, d):
-    s = scores(spark, d).where(F.col("lead").isin(1, 7, 30) & (F.col("var") == "qty"))
-    return sg.per_origin(s, ["model", "lead"])
+    return kept(spark, ("origin_losses", d), lambda: sg.per_origin(scores(spark, d).where(F.col("lead").isin(1, 7, 30)), ["model", *COMPARISON]))
 
 
 def differences(spark, d):
-    return sg.paired(origin_losses(spark, d), "climatology", "persistence", ["lead"])
+    return sg.paired(origin_losses(spark, d), "climatology", "persistence", COMPARISON)
 
 
-@query(f"select model, lead, origin, round(loss, 6) loss from {ORIGIN_LOSS}")
+@query(f"select model, var, lead, origin, round(loss, 6) loss from {ORIGIN_LOSS}")
 def t1_origin_losses(spark, d):
     return rounded(origin_losses(spark, d), 6)
 
 
-@query(f"select lead, n, round(mean_diff, 7) mean_diff, round(v, 9) variance from {LONG_RUN}")
+@query(f"select var, lead, n, round(mean_diff, 7) mean_diff, round(v, 9) variance from {LONG_RUN}")
 def t2_long_run_variance(spark, d):
-    v = sg.long_run(differences(spark, d), ["lead"])
-    return v.select("lead", "n", F.round("mean_diff", 7).alias("mean_diff"), F.round("variance", 9).alias("variance"))
+    v = sg.long_run(differences(spark, d), COMPARISON)
+    return v.select("var", "lead", "n", F.round("mean_diff", 7).alias("mean_diff"), F.round("variance", 9).alias("variance"))
 
 
-@query(f"select lead, n, round(mean_diff / sqrt(v / n) * sqrt(greatest((n + 1 - 2 * lead + lead * (lead - 1) / n) / n, 1e-12)), 5) statistic from {LONG_RUN}")
+@query(f"select var, lead, n, round(mean_diff / sqrt(v / n) * sqrt(greatest((n + 1 - 2 * lead + lead * (lead - 1) / n) / n, 1e-12)), 5) statistic from {LONG_RUN}")
 def t3_diebold_mariano(spark, d):
-    s = sg.diebold_mariano(differences(spark, d), ["lead"])
-    return s.select("lead", "n", F.round("statistic", 5).alias("statistic"))
+    s = sg.diebold_mariano(differences(spark, d), COMPARISON)
+    return s.select("var", "lead", "n", F.round("statistic", 5).alias("statistic"))
 
 
 @query()
 def t3_t8_p_values(spark, d):
-    s = sg.diebold_mariano(differences(spark, d), ["lead"]).withColumn("p", sg.t_p_value("statistic", "n"))
+    s = sg.diebold_mariano(differences(spark, d), COMPARISON).withColumn("p", sg.t_p_value("statistic", "n"))
     return rounded(sg.holm(s), 9)
 
 
@@ -241,15 +238,16 @@ def t4_wilcoxon(spark, d):
 
 @query()
 def t5_t6_bootstrap(spark, d):
-    wide = origin_losses(spark, d).where("model in ('persistence', 'climatology')").groupBy("lead", "origin").pivot("model", ["persistence", "climatology"]).agg(F.first("loss"))
-    return rounded(sg.bootstrap(wide, ["lead"], ["persistence", "climatology"], "skill"), 6)
+    wide = origin_losses(spark, d).where("model in ('persistence', 'climatology')").groupBy(*COMPARISON, "origin").pivot("model", ["persistence", "climatology"]).agg(F.first("loss"))
+    return rounded(sg.bootstrap(wide, COMPARISON, ["persistence", "climatology"], "skill"), 6)
 
 
 TASK_LOSS = "(select model, var, series_id, lead, round(avg(scaled_crps), 6) loss from sc where lead in (1, 7, 30) group by all)"
 
 
 def task_losses(spark, d):
-    return scores(spark, d).where(F.col("lead").isin(1, 7, 30)).groupBy("model", "var", "series_id", "lead").agg(F.round(F.avg("scaled_crps"), 6).alias("loss"))
+    build = lambda: scores(spark, d).where(F.col("lead").isin(1, 7, 30)).groupBy("model", "var", "series_id", "lead").agg(F.round(F.avg("scaled_crps"), 6).alias("loss"))
+    return kept(spark, ("task_losses", d), build)
 
 
 @query(f"select model, round(avg(r), 6) avg_rank, count(*) n_tasks from (select *, rank() over (partition by var, series_id, lead order by loss) + (count(*) over (partition by var, series_id, lead, loss) - 1) / 2.0 r from {TASK_LOSS}) group by model")
@@ -277,10 +275,10 @@ def t8_holm(spark, d):
     return sg.holm(part.select("p_brand", "p_partkey", p.alias("p")), by=["p_brand"]).select("p_brand", "p_partkey", F.round("p_holm", 9).alias("p_holm"))
 
 
-@query(f"select a.lead, round(1 - avg(a.loss) / avg(b.loss), 6) crpss from {ORIGIN_LOSS} a join {ORIGIN_LOSS} b on a.lead = b.lead and a.origin = b.origin and a.model = 'persistence' and b.model = 'climatology' group by a.lead")
+@query(f"select a.var, a.lead, round(1 - avg(a.loss) / avg(b.loss), 6) crpss from {ORIGIN_LOSS} a join {ORIGIN_LOSS} b on a.var = b.var and a.lead = b.lead and a.origin = b.origin and a.model = 'persistence' and b.model = 'climatology' group by a.var, a.lead")
 def t9_crpss(spark, d):
-    wide = origin_losses(spark, d).groupBy("lead", "origin").pivot("model", ["persistence", "climatology"]).agg(F.first("loss")).dropna()
-    return wide.groupBy("lead").agg(F.round(num.skill(F.avg("persistence"), F.avg("climatology")), 6).alias("crpss"))
+    wide = origin_losses(spark, d).groupBy(*COMPARISON, "origin").pivot("model", ["persistence", "climatology"]).agg(F.first("loss")).dropna()
+    return wide.groupBy(*COMPARISON).agg(F.round(num.skill(F.avg("persistence"), F.avg("climatology")), 6).alias("crpss"))
 
 
 SKILLS = "(select left(series_id, 1) grp, lead, 1 - avg(case when model = 'persistence' then scaled_crps end) / avg(case when model = 'climatology' then scaled_crps end) ps, 1 - avg(case when model = 'seasonal_naive' then scaled_crps end) / avg(case when model = 'climatology' then scaled_crps end) sn from sc where lead in (1, 7, 30) group by all)"
@@ -291,8 +289,9 @@ def t10_r5_did(spark, d):
     s = scores(spark, d).where(F.col("lead").isin(1, 7, 30)).withColumn("grp", F.substring("series_id", 1, 1))
     mean = lambda m: F.avg(F.when(F.col("model") == m, F.col("scaled_crps")))
     k = s.groupBy("grp", "lead").agg(num.skill(mean("persistence"), mean("climatology")).alias("ps"), num.skill(mean("seasonal_naive"), mean("climatology")).alias("sn"))
-    a, b = k.where("grp = 'R'").select("lead", F.col("ps").alias("a1"), F.col("sn").alias("a2")), k.where("grp = 'A'").select("lead", F.col("ps").alias("b1"), F.col("sn").alias("b2"))
-    return a.join(b, "lead").select("lead", F.round((F.col("a1") - F.col("b1")) - (F.col("a2") - F.col("b2")), 6).alias("did"))
+    of = lambda g, c: F.max(F.when(F.col("grp") == g, F.col(c)))
+    did = (of("R", "ps") - of("A", "ps")) - (of("R", "sn") - of("A", "sn"))
+    return k.groupBy("lead").agg(F.round(did, 6).alias("did")).where("did is not null")
 
 
 # --- reports ------------------------------------------------------------------------------------------------------
@@ -336,21 +335,21 @@ def r11_comparators(spark, d):
 
 @query("select series_id, year(date)::int as year, round(100 * avg((y is not null)::int), 4) coverage from ship where var = 'qty' group by all")
 def r12_coverage(spark, d):
-    return ship(spark, d).where(WHOLE).groupBy("series_id", F.year("date").alias("year")).agg(F.round(100 * F.avg(F.col("y").isNotNull().cast("int")), 4).alias("coverage"))
+    return ship(spark, d).where(QTY).groupBy("series_id", F.year("date").alias("year")).agg(F.round(100 * F.avg(F.col("y").isNotNull().cast("int")), 4).alias("coverage"))
 
 
 @query("""select m::int as month, round(quantile_cont(mean, 0.25), 5) p25, round(median(mean), 5) mid, round(quantile_cont(mean, 0.75), 5) p75 from (
   select series_id, m, avg(total) mean from (select series_id, year(date) yr, month(date) m, case when count(y) >= 25 then sum(y) end total from ship where var = 'qty' group by all) group by all) group by m""")
 def r13_seasonal_cycle(spark, d):
     total = F.when(F.count("y") >= 25, F.sum("y"))
-    month = ship(spark, d).where(WHOLE).groupBy("series_id", F.year("date").alias("yr"), F.month("date").alias("month")).agg(total.alias("t"))
+    month = ship(spark, d).where(QTY).groupBy("series_id", F.year("date").alias("yr"), F.month("date").alias("month")).agg(total.alias("t"))
     mean = month.groupBy("series_id", "month").agg(F.avg("t").alias("m"))
     return rounded(mean.groupBy("month").agg(F.percentile("m", 0.25).alias("p25"), F.median("m").alias("mid"), F.percentile("m", 0.75).alias("p75")))
 
 
 @query("select b::int as bin, count(*) n from (select least(floor(log10(y) * 4), 11) b from ship where var = 'qty' and y > 0) group by 1")
 def r14_histogram(spark, d):
-    return ship(spark, d).where(WHOLE).where("y > 0").select(F.least(F.floor(F.log10("y") * 4), F.lit(11)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    return ship(spark, d).where(QTY).where("y > 0").select(F.least(F.floor(F.log10("y") * 4), F.lit(11)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
 @query("""select shift, round(case when stddev_pop(x) > 0 and stddev_pop(z) > 0 then corr(x, z) end, 5) r, count(*) n from (
@@ -359,7 +358,7 @@ def r14_histogram(spark, d):
   where b.m = (a.m - to_months(shift))::date) group by shift""")
 def r15_lag_correlation(spark, d):
     month = lambda f: f.groupBy(F.trunc("date", "month").alias("m")).agg(F.sum("y").alias("v"))
-    a = month(ship(spark, d).where(WHOLE).where("y is not null")).select(F.explode(F.sequence(F.lit(0), F.lit(12))).alias("shift"), "m", F.col("v").alias("x"))
+    a = month(ship(spark, d).where(QTY).where("y is not null")).select(F.explode(F.sequence(F.lit(0), F.lit(12))).alias("shift"), "m", F.col("v").alias("x"))
     b = month(tracks.orders_region(spark, d).where("var = 'n'")).select(F.col("m").alias("bm"), F.col("v").alias("z"))
     both = a.join(b, F.col("bm") == F.add_months("m", -F.col("shift")))
     return both.groupBy("shift").agg(F.round(num.safe_corr("x", "z"), 5).alias("r"), F.count("*").alias("n"))
@@ -372,7 +371,7 @@ AGREE = "(select a.date, a.y f, b.y o from ship a join ship b on a.date = b.date
    select -1 k, f, lead(o) over (order by date) g from {AGREE} union all select 0, f, o from {AGREE} union all select 1, f, lag(o) over (order by date) from {AGREE}) where g is not null group by k""")
 def r16_agreement(spark, d):
     """Correlations at row shifts -1, 0 and 1 of the complete pairs."""
-    s = ship(spark, d).where(WHOLE).where("y is not null")
+    s = ship(spark, d).where(QTY).where("y is not null")
     a = s.where("series_id = 'AF'").select("date", F.col("y").alias("f"))
     pairs = a.join(s.where("series_id = 'AO'").select("date", F.col("y").alias("o")), "date")
     order = Window.partitionBy(F.lit(0)).orderBy("date")  # one row a day
@@ -391,7 +390,7 @@ def r17_station_selection(spark, d):
 
 
 @query("""select * from (select 'windows' claim, count(*) > 0 ok from win union all select 'unique', count(*) = count(distinct (track, var, series_id, origin)) from win
-  union all select 'coverage_in_0_1', bool_and(cov between 0 and 1) from board union all select 'climatology_skill_zero', bool_and(mase is not null) from board where model = 'climatology'
+  union all select 'coverage_in_0_1', bool_and(cov between 0 and 1) from board union all select 'climatology_skill_zero', bool_and(1 - a.scrps / b.scrps = 0) from board a join board b on a.model = 'climatology' and b.model = 'climatology' and a.track = b.track and a.var = b.var and a.lead = b.lead
   union all select 'three_models', count(distinct model) = 3 from board)""")
 def r20_claims(spark, d):
     s = ship(spark, d)
@@ -399,22 +398,22 @@ def r20_claims(spark, d):
     b = ev.board(scores(spark, d), ["track", "var", "lead", "model"]).cache()
     one = lambda f, name, c: f.agg(c.alias("ok")).select(F.lit(name).alias("claim"), "ok")
     out = one(w, "windows", F.count("*") > 0).unionByName(one(w, "unique", F.count("*") == F.countDistinct(*KEYS, "origin")))
-    out = out.unionByName(one(b, "coverage_in_0_1", F.bool_and(F.col("coverage80").between(0, 1)))).unionByName(one(b.where("model = 'climatology'"), "climatology_skill_zero", F.bool_and(F.col("MASE").isNotNull())))
+    out = out.unionByName(one(b, "coverage_in_0_1", F.bool_and(F.col("coverage80").between(0, 1)))).unionByName(one(ev.with_skill(b, ["track", "var", "lead"]).where("model = 'climatology'"), "climatology_skill_zero", F.bool_and(F.col("CRPSS_vs_clim") == 0)))
     return out.unionByName(one(b, "three_models", F.countDistinct("model") == 3))
 
 
-@query("""select series_id, count(*) c0, count(*) filter (where f >= 0.5) c1, count(*) filter (where f >= 0.8) c2, count(*) filter (where f >= 0.95) c3, count(*) filter (where f >= 1) c4
-  from (select series_id, ctx_obs_frac_365 f from win where var = 'qty') group by series_id""")
+@query("""select var, series_id, count(*) c0, count(*) filter (where f >= 0.5) c1, count(*) filter (where f >= 0.8) c2, count(*) filter (where f >= 0.95) c3, count(*) filter (where f >= 1) c4
+  from (select var, series_id, ctx_obs_frac_365 f from win) group by var, series_id""")
 def r22_feasibility(spark, d):
-    w = sq.test_windows(ship(spark, d).where(WHOLE))
-    return w.groupBy("series_id").agg(F.count("*").alias("c0"), *(F.count_if(F.col("ctx_obs_frac_365") >= x).alias(f"c{i}") for i, x in ((1, 0.5), (2, 0.8), (3, 0.95), (4, 1.0))))
+    w = sq.test_windows(ship(spark, d))
+    return w.groupBy("var", "series_id").agg(F.count("*").alias("c0"), *(F.count_if(F.col("ctx_obs_frac_365") >= x).alias(f"c{i}") for i, x in ((1, 0.5), (2, 0.8), (3, 0.95), (4, 1.0))))
 
 
-@query("select lead, round(avg(q[9] - q[1]), 5) width, round(stddev_samp(mean), 5) spread from fc_clim where var = 'qty' group by lead")
+@query(f"select var, lead, {by_var('avg(q[9] - q[1])', 5)} width, {by_var('stddev_samp(mean)', 5)} spread from fc_clim group by var, lead")
 def r23_dispersion(spark, d):
-    s = ship(spark, d).where(WHOLE)
+    s = ship(spark, d)
     f = ev.climatology(s, sq.test_windows(s), TRAIN_END, sq.H)
-    return f.groupBy("lead").agg(F.round(F.avg(F.col("`q0.9`") - F.col("`q0.1`")), 5).alias("width"), F.round(F.stddev_samp("mean"), 5).alias("spread"))
+    return rounded_by_var(f.groupBy("var", "lead").agg(F.avg(F.col("`q0.9`") - F.col("`q0.1`")).alias("width"), F.stddev_samp("mean").alias("spread")), 5)
 
 
 @query("""select base, min(context) filter (where loss = best) best_context, round(min(loss), 6) loss from (
@@ -446,7 +445,7 @@ def r19_did_joined(spark, d):
     return t10_r5_did(spark, d).join(whole, "lead")
 
 
-@query("""select model, round(avg(scaled_crps), 5) "sCRPS", 0 violations from sc where model = 'climatology' group by model""")
+@query(f"""select model, round(avg(scaled_crps), 5) "sCRPS", (select sum(violations) from {INTEGRITY})::int violations from sc where model = 'climatology' group by model""")
 def r21_gate_then_score(spark, d):
     """The score of a forecast next to the number of its rule violations."""
     s = ship(spark, d)
@@ -456,11 +455,11 @@ def r21_gate_then_score(spark, d):
     return board.crossJoin(gate)  # one row each
 
 
-@query(f"""select series_id, round(avg(abs(y - p)), 7) mae, round(sqrt(avg((y - p) ** 2)), 7) rmse, round(avg(abs(y - p)) / nullif(avg(abs(y - s)), 0), 7) mase, round(avg(coalesce((y between p - 50 and p + 50)::int, 0)), 7) coverage
-  from (select series_id, y, lag(y, 1) over w p, lag(y, 365) over w s from ship where var = 'qty' window w as (partition by series_id order by date)) group by series_id""")
+@query(f"""select var, series_id, {by_var('avg(abs(y - p))', 7)} mae, {by_var('sqrt(avg((y - p) ** 2))', 7)} rmse, {by_var('avg(abs(y - p)) / nullif(avg(abs(y - s)), 0)', 7)} mase, {by_var('avg(coalesce((y between p - 50 and p + 50)::int, 0))', 7)} coverage
+  from (select var, series_id, y, lag(y, 1) over w p, lag(y, 365) over w s from ship window w as (partition by var, series_id order by date)) group by var, series_id""")
 def e6_metrics(spark, d):
-    w = Window.partitionBy("series_id").orderBy("date")
-    x = ship(spark, d).where(WHOLE).select("series_id", "y", F.lag("y", 1).over(w).alias("p"), F.lag("y", 365).over(w).alias("s"))
+    w = Window.partitionBy("var", "series_id").orderBy("date")
+    x = ship(spark, d).select("var", "series_id", "y", F.lag("y", 1).over(w).alias("p"), F.lag("y", 365).over(w).alias("s"))
     y, p, s = F.col("y"), F.col("p"), F.col("s")
-    out = x.groupBy("series_id").agg(F.avg(F.abs(y - p)).alias("mae"), F.sqrt(F.avg((y - p) ** 2)).alias("rmse"), F.try_divide(F.avg(F.abs(y - p)), F.avg(F.abs(y - s))).alias("mase"), F.avg(num.covered(y, p - 50, p + 50)).alias("coverage"))
-    return rounded(out, 7)
+    out = x.groupBy("var", "series_id").agg(F.avg(F.abs(y - p)).alias("mae"), F.sqrt(F.avg((y - p) ** 2)).alias("rmse"), F.try_divide(F.avg(F.abs(y - p)), F.avg(F.abs(y - s))).alias("mase"), F.avg(num.covered(y, p - 50, p + 50)).alias("coverage"))
+    return rounded_by_var(out, 7)
