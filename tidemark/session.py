@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and keep instants in UTC."""
+    """Let Python workers import this package, keep instants in UTC and batches for Python small."""
     root = str(Path(__file__).resolve().parent.parent)
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # rows with whole texts or contexts pass to Python: fewer at a time keep a batch small where texts are long
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     return spark
 
 
