@@ -36,6 +36,18 @@ def test_toxicity_learns_sentences_from_document_labels(spark):
     assert np.mean(right) > 0.9
 
 
+def test_toxicity_query_finds_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    marks = {r["doc_id"]: r["toxic"] for r in common.table(spark, sf, "labels").where("toxic is not null").collect()}
+    out = {r["doc_id"]: r for r in toxicity.op1_toxicity(spark, sf).collect()}
+    assert out.keys() == {r["doc_id"] for r in common.table(spark, sf, "documents").collect()}
+    import zlib
+
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) for i, r in out.items())
+    held = [(out[i]["predicted"], y) for i, y in marks.items() if i in out and out[i]["held_out"]]
+    assert np.mean([p == y for p, y in held]) > 0.9  # on documents whose labels were not seen
+
+
 def test_toxicity_scores_are_the_noisy_or_of_sentences():
     model = toxicity.ToxicityModel(-3.0, {"bad": 5.0, "awfu*": 2.0})
     p = lambda z: 1 / (1 + np.exp(-z))
@@ -360,6 +372,55 @@ def test_edit_fingerprints(spark):
     assert np.mean([r["near_edited"] > r["near_next"] for r in out.values()]) > 0.9
 
 
+def plain_fingerprint(text):
+    """The parsing of the module's text in plain loops over Python integers."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ x >> 30) * int(parsing.M1)) & mask
+        x = ((x ^ x >> 27) * int(parsing.M2)) & mask
+        return x ^ x >> 31
+
+    def tossed(x):
+        out = []
+        for i, v in enumerate(x):
+            d = v ^ x[i - 1] if i else v + 1
+            place = (d & -d).bit_length() - 1
+            out.append(2 * place + (v >> place & 1))
+        return out
+
+    x, best, top = [ord(c) for c in text], {}, (1 << 32) - 1
+    for level in (1, 2, 3):
+        runs = []
+        for v in x:
+            if runs and runs[-1][0] == v:
+                runs[-1][1] += 1
+            else:
+                runs.append([v, 1])
+        x = [v if n == 1 else mixed((v * int(parsing.GOLD) + n) & mask) & top for v, n in runs]
+        label = tossed(tossed(tossed(x)))
+        cuts = [i for i in range(len(x)) if i == 0 or i + 1 < len(x) and label[i - 1] < label[i] >= label[i + 1]]
+        names = []
+        for a, b in zip(cuts, [*cuts[1:], len(x)]):
+            names.append(mixed(sum((v + 1) * int(parsing.POWERS[j & 63]) for j, v in enumerate(x[a:b])) & mask))
+        x, top = names, mask
+        if level > 1:
+            for v in names:
+                h = mixed((v + level * int(parsing.GOLD)) & mask)
+                slot = (level - 2) * 32 + h % 32
+                best[slot] = min(best.get(slot, mask), h >> 8)
+    return bytes(0 if s not in best else 1 + (best[s] >> 3) % 255 for s in range(64)).hex()
+
+
+def test_fingerprints_against_plain_loops(spark):
+    docs = common.table(spark, SF, "documents")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    some = {i: t for i, t in texts.items() if not re.search(r"(.)\1", t, re.S) or len(t) < 3000}
+    got = {r["doc_id"]: r["fingerprint"] for r in parsing.op6_fingerprints(spark, SF).collect()}
+    assert got.keys() == texts.keys() and len(some) > 50
+    assert all(got[i] == plain_fingerprint(t) for i, t in some.items())
+
+
 def test_fingerprint_defined_cases(spark):
     docs = documents(spark, ODD).unionByName(documents(spark, ["null id"]).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(documents(spark, ["again"]))
     out = parsing.edit_fingerprints(docs, slices=5).collect()
@@ -459,6 +520,11 @@ def test_near_duplicates(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == groups
 
 
+def test_sample_rate_holds_at_any_size():
+    for n in (1e9, 1.7e10, 1e11, 1e13):
+        assert int(min(0.25, 16384 / n) * (1 << 53)) * n / (1 << 53) == pytest.approx(16384, rel=1e-3)
+
+
 def test_links_in_dense_balls_and_tiles(spark):
     rng = random.Random(4)
     points = set()
@@ -561,6 +627,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_bundles(warc.write_bundles(warc.marked(pages.limit(0)))).count() == 0
 
 
+def test_warc_query_against_plain_code(spark):
+    rows = common.table(spark, SF, "pages").collect()
+    first = {}
+    for r in sorted(rows, key=lambda r: r["page_id"]):
+        first.setdefault(r["html"] or "", r["page_id"])
+    want = []
+    for r in rows:
+        data, to = (r["html"] or "").encode(), first[r["html"] or ""]
+        again = to != r["page_id"]
+        want.append((r["page_id"], len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", to if again else None))
+    got = [tuple(r)[:5] for r in warc.op10_warc(spark, SF).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_bundle_is_plain_zstandard():
     import zstandard
 
@@ -599,6 +679,14 @@ def test_pipeline_stages(spark):
         if not plain_spans(r["text"]):
             assert clean[r["doc_id"]] == r["text"]
     assert all(f(spark, docs, SF).columns == cp.COLUMNS for _, f in cp.STAGES[:-1])
+    probability = {r["doc_id"]: (r["keep_probability"], r["d"]) for r in mixing.sampling(spark, docs).withColumn("d", mixing.draw()).collect()}
+    mixed = {r["doc_id"]: r["text"] for r in cp.mix(spark, docs, SF).collect()}
+    assert mixed.keys() == {i for i, (p, d) in probability.items() if d < p}
+    path, pattern = bpe.default_vocabulary()
+    coder = bpe.Codec(open(path, "rb").read(), pattern)
+    encoded = cp.encode(spark, docs, SF).collect()
+    assert {r["doc_id"]: coder.decode(np.array(r["ids"])).decode() for r in encoded} == {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert all(len(r["ids"]) == r["n_tokens"] for r in encoded)
     assert 0 < cp.run(spark, SF).count() < docs.count()
 
 
