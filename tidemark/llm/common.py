@@ -40,6 +40,23 @@ def materialised(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, known: DataFrame, key: str, count: str, parts: int = 512) -> DataFrame:
+    """Left join of ``rows`` with ``known`` on ``key``, where one value may be held by a third of all rows.
+
+    ``known`` is a written table with one row for each value and, in ``count``, how many rows hold it. Values with more than a
+    ``parts``-th of the counted rows are fewer than ``parts``, so they are broadcast; their rows pass through the shuffled join
+    under a key of their own, spread by a hash. The key is never null; ``count`` is not in the result.
+    """
+    total = known.agg(F.sum(count)).first()[0] or 0
+    given = F.struct(*(c for c in known.columns if c not in (key, count)))
+    hot = known.where(F.col(count) * parts > total).select(key, given.alias("_hot"))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(8 * parts)).cast("string")
+    marked = rows.join(F.broadcast(hot), key, "left")
+    marked = marked.withColumn("_at", F.when(F.col("_hot").isNull(), F.array(key)).otherwise(F.array(F.col(key), salt)))
+    usual = known.select(F.array(key).alias("_at"), given.alias("_usual"))
+    return marked.join(usual, "_at", "left").select(*(F.col(c) for c in rows.columns), F.coalesce("_hot", "_usual").alias("_given")).select(*rows.columns, "_given.*")
+
+
 def whole_text(name: str = "text"):
     """The text column with null taken as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -7,7 +7,8 @@ index maps a record's identifier to the frame's number, the frame's offset in th
 decompressed frame.
 
 Of records with equal payloads the one with the smallest id is the response, the others are revisits that refer to it
-and carry no payload. The smallest id of each payload is found by a map-side combined aggregation over digests.
+and carry no payload. The smallest id of each payload is found by a map-side combined aggregation over digests; only digests that
+repeat are written, and the pages of a very frequent one are spread over the tasks of the join that marks revisits.
 
 Bundles are rows of a Parquet table on shared storage (``bundle binary``), so their writing is retried and committed as
 any Spark output; ``export_bundles`` writes them as ``.warc.zst`` files and ``read_bundle_files`` reads such files.
@@ -25,10 +26,10 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialised, shared_dir, table
+from .common import materialised, spread_join, table
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 BUNDLE_BYTES = 4 << 20
@@ -112,18 +113,20 @@ def read_frame(bundle: bytes, offset: int, size: int) -> bytes:
     return zstandard.ZstdDecompressor().decompress(bundle[offset : offset + size])
 
 
-def marked(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``(page_id, url, payload, payload_digest, refers_to)``: the digests, and the response that each revisit refers to."""
+def base32(hexed: Column) -> Column:
+    """The 160 bits of a SHA-1 in hexadecimal digits as 32 base-32 digits."""
+    word = lambda i: F.lpad(F.conv(F.substring(hexed, 10 * i + 1, 10), 16, 32), 8, "0")  # noqa: E731  40 bits
+    return F.translate(F.concat(*(word(i) for i in range(4))), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest_of(x.as_py()) for x in batch.column(2)])], names=["page_id", "url", "payload", "payload_digest"])
 
+def marked(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """``(page_id, url, payload, payload_digest, refers_to)``: the digests, and the response that each revisit refers to."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.mapInArrow(run, "page_id long, url string, payload binary, payload_digest string")
-    first = rows.where(F.length("payload") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("payload_digest", "first")
+    rows = rows.withColumn("payload_digest", base32(F.sha1("payload")))
+    repeated = rows.where(F.length("payload") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    said = spread_join(rows, materialised(pages.sparkSession, repeated, "warc-repeated"), "payload_digest", "copies")
     refers = F.when((F.length("payload") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return rows.join(first, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
+    return said.select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
 
 
 def write_bundles(records: DataFrame, bundle_bytes: int = BUNDLE_BYTES, frame_bytes: int = FRAME_BYTES) -> DataFrame:
@@ -202,20 +205,24 @@ def fetch(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def export_bundles(bundles: DataFrame, uri: str) -> DataFrame:
-    """Write each bundle as ``<digest>.warc.zst`` under a URI that pyarrow can write; returns ``(path, bytes)``.
+    """Write each bundle as a ``.warc.zst`` file under a URI that pyarrow can write; returns ``(path, bytes)``.
 
-    A name comes from the content and a file appears whole, so a task that runs twice does no harm.
+    A name comes from the content and the bundle's place (equal bundles are files of their own) and a file appears whole, so a task
+    that runs twice over written bundles does no harm.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
+        from pyspark import TaskContext
 
+        task, number = TaskContext.get().partitionId(), 0
         store, root = fs.FileSystem.from_uri(uri)
         store.create_dir(root, recursive=True)
         for batch in batches:
             for cell in batch.column(0):
                 data = cell.as_py()
-                path = f"{root}/{hashlib.sha256(data).hexdigest()}.warc.zst"
+                path = f"{root}/{task:06d}-{number:06d}-{hashlib.sha256(data).hexdigest()}.warc.zst"
+                number += 1
                 part = f"{path}.{id(data):x}.part"
                 with store.open_output_stream(part) as f:
                     f.write(data)
@@ -231,6 +238,5 @@ def read_bundle_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
     bundles = materialised(spark, write_bundles(marked(table(spark, sf_dir, "pages"))), "warc")
     return read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
