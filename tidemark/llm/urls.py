@@ -5,8 +5,8 @@ suffix is shrunk towards the whole (which starts from a bad rate of a tenth, of
 is the moment estimate of the overdispersion at that level. A host is blocked if the lower bound of its posterior bad rate
 is over ``most_bad``. Unlabelled hosts get what their domain, suffix or the whole says.
 
-Only aggregations (combined before the shuffle) and equi-joins on their keys are used; the join on a very frequent host can be
-split by adaptive execution.
+Only aggregations (combined before the shuffle) and equi-joins on their keys are used. Counts and each level's posteriors are
+written to the shared folder, so that no level computes those above again; pages of a very frequent host are spread over tasks.
 
 Defined cases: a null url or one without ``://`` has empty host and path, fits no rule and is judged as the host that is
 empty; repeated pages count and come out once for each; labels that are null don't count and of contradicting labels of
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialised, spread_join, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path) of the query
@@ -51,19 +51,21 @@ def rule_of(rules=RULES):
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame, most_bad: float = 0.3) -> DataFrame:
-    """``(host, bad_rate, lower, blocked)`` of every host of ``pages(page_id, host, domain, suffix)``.
+    """``(host, bad_rate, lower, blocked, pages)`` of every host of ``pages(page_id, host, domain, suffix)``.
 
     ``outcomes(page_id, bad 0/1)`` are the labels. A level's prior strength is the one at which the spread of its
     units' rates is what beta-binomial counts would show, between 1 and 1000.
     """
+    spark = pages.sparkSession
     worst = outcomes.dropna().groupBy("page_id").agg(F.max("bad").cast("double").alias("bad"))
-    per = pages.join(worst, "page_id", "left").groupBy("suffix", "domain", "host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("x"))
+    counts = F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("x"), F.count("*").alias("pages")
+    per = materialised(spark, pages.join(worst, "page_id", "left").groupBy("suffix", "domain", "host").agg(*counts), "url-counts")
     whole = F.broadcast(per.agg((F.sum("x") + 0.5).alias("gx"), (F.sum("n") + 5.0).alias("gn")))  # one row
     keys: list[str] = []
     above = None
     for level in LEVELS:
         keys = [*keys, level]
-        units = per.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+        units = per.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "x", "pages")))
         if above is None:
             units = units.crossJoin(whole).withColumn("prior", F.col("gx") / F.col("gn")).drop("gx", "gn")
         else:
@@ -75,19 +77,18 @@ def reputation(pages: DataFrame, outcomes: DataFrame, most_bad: float = 0.3) ->
         strength = F.least(F.greatest(F.coalesce(F.try_divide(1 - rho, F.greatest(rho, F.lit(1e-9))), F.lit(1.0)), F.lit(1.0)), F.lit(1000.0))
         units = units.crossJoin(F.broadcast(moments.select(strength.alias("m"))))  # one row
         units = units.withColumn("a", F.col("x") + F.col("m") * F.col("prior")).withColumn("b", F.col("n") - F.col("x") + F.col("m") * (1 - F.col("prior")))
-        above = units.select(*keys, (F.col("a") / (F.col("a") + F.col("b"))).alias("prior"), "a", "b")
-        last = above
-        above = above.drop("a", "b")
+        last = materialised(spark, units.select(*keys, (F.col("a") / (F.col("a") + F.col("b"))).alias("prior"), "a", "b", "pages"), f"url-{level}")
+        above = last.drop("a", "b", "pages")
     total = F.col("a") + F.col("b")
     lower = F.col("prior") - Z * F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))
-    return last.select("host", F.col("prior").alias("bad_rate"), lower.alias("lower"), (lower > most_bad).alias("blocked"))
+    return last.select("host", F.col("prior").alias("bad_rate"), lower.alias("lower"), (lower > most_bad).alias("blocked"), "pages")
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, most_bad: float = 0.3) -> DataFrame:
     """``(page_id, host, path, rule, verdict, bad_rate)`` of every page of ``pages(page_id, url)``."""
     rows = parts(pages)
     known = reputation(rows, outcomes, most_bad)
-    said = rows.withColumn("given", rule_of(rules)).join(known, "host")
+    said = spread_join(rows.withColumn("given", rule_of(rules)), known, "host", "pages")
     verdict = F.coalesce(F.col("given.verdict"), F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow")))
     return said.select("page_id", "host", "path", F.col("given.rule").alias("rule"), verdict.alias("verdict"), F.round("bad_rate", 6).alias("bad_rate"))
 
