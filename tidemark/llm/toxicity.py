@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import materialised, table, whole_text
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -127,8 +127,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
         return ToxicityModel(bias=-5.0 if 1 not in share else 0.0)
     rank = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.where(rank < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    # bounded by max_rows ids and labels
+    # bounded by max_rows ids and labels; written, as it is read three times
     rows = F.broadcast(chosen).join(docs.select("doc_id", whole_text().alias("text")), "doc_id").select("toxic", "text")
+    rows = materialised(spark, rows, "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
