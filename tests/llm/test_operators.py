@@ -605,9 +605,28 @@ def test_reputation_blocks_bad_hosts_only(spark):
     assert {r["host"] for r in out.where("verdict = 'block'").collect()} == {"bad.site.org"}
 
 
+def test_spread_join_is_a_left_join(spark):
+    rows = spark.createDataFrame([("a" if i % 3 == 0 else f"k{i % 50}" if i % 2 else "none", i) for i in range(3000)], "k string, i long")
+    known = rows.where("k <> 'none'").groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("least"))
+    known = known.where("n > 1")
+    for parts in (1, 4, 512):  # none, one and all of the values are hot
+        got = common.spread_join(rows, known, "k", "n", parts)
+        assert got.columns == ["k", "i", "least"]
+        want = rows.join(known.drop("n"), "k", "left")
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select("k", "i", "least").collect()))
+    assert common.spread_join(rows, known.limit(0), "k", "n").where("least is null").count() == 3000
+    assert common.spread_join(rows.limit(0), known, "k", "n").count() == 0
+
+
 # --- op10
 
 
+def test_digest_column_is_base32_of_sha1(spark):
+    texts = ["", "a", "é" * 1000, *(f"page {i}" for i in range(500))]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", warc.base32(F.sha1(F.encode("t", "UTF-8"))).alias("d"))
+    assert all(r["d"] == warc.digest_of(r["t"].encode()) for r in frame.collect())
+
+
 def test_warc_round_trip(spark, tmp_path):
     texts = [(3, "u\r\nX: 1", "same"), (1, "u1", "same"), (2, None, "other é"), (4, "u4", None), (5, "u5", ""), (1, "u1", "same"), (None, "u6", "same"), (9, "u9", "x" * 400_000)]
     pages = spark.createDataFrame(texts, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("first", F.lit(2))
