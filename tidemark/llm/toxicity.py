@@ -133,29 +133,26 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        docs_seen = [0, 0]
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                docs_seen[toxic > 0] += 1
                 for f in {*sentence_features(text)}:
                     seen[f][toxic > 0] += 1
-        seen[""] = docs_seen
         keys = list(seen)
         for i in range(0, len(keys), 20_000):
             part = keys[i : i + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([seen[k][0] for k in part], pa.int64()), pa.array([seen[k][1] for k in part], pa.int64())], names=["f", "clean", "toxic"])
 
     counts = rows.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    total = counts.where("f = ''").first()
-    if total is None:  # no labelled id has a document
+    drawn = rows.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean")).first()
+    if not drawn["toxic"] + drawn["clean"]:  # no labelled id has a document
         return ToxicityModel(bias=-5.0)
-    a, b = max(1, total["toxic"]), max(1, total["clean"])
+    a, b = max(1, drawn["toxic"]), max(1, drawn["clean"])
     lift = F.log((F.col("toxic") + 0.5) / (a + 1.0)) - F.log((F.col("clean") + 0.5) / (b + 1.0))
     weight = lift * (F.col("toxic") / a - F.col("clean") / b)
     n = F.col("toxic") + F.col("clean")
     term = lambda c, k: F.col(c) * F.log(F.greatest(F.col(c), F.lit(1)) * (a + b) / (n * k))
     evidence = 2 * (term("toxic", a) + term("clean", b))  # likelihood ratio against no association
-    best = counts.where((F.col("f") != "") & (lift > 1) & (evidence > 12)).orderBy(weight.desc(), "f").limit(max_features)
+    best = counts.where((lift > 1) & (evidence > 12)).orderBy(weight.desc(), "f").limit(max_features)
     number = {r["f"]: i for i, r in enumerate(best.select("f").collect())}
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
