@@ -235,6 +235,35 @@ def test_holm(spark):
     assert got["d"] is None and got["a"] == pytest.approx(0.004)
 
 
+def test_held_out_tests_against_numpy(spark):
+    rng, day = np.random.default_rng(3), lambda i: dt.date(2020, 1, 1) + dt.timedelta(days=i)
+    shift = {"a": {"x": 0.1, "y": -0.4, "b": 0.0, "c": 0.2}, "z": {"x": 0.5, "y": 0.6, "b": 0.0, "c": -0.1}, "e": {"x": 0.0, "y": 0.0, "b": 0.0, "c": 0.0}}
+    loss = {(v, m): 2 + s + rng.normal(0, 0.3, 80) for v, by in shift.items() for m, s in by.items()}
+    rows = [(v, 3, m, day(i), float(x)) for (v, m), xs in loss.items() for i, x in enumerate(xs) if (v, m, i) != ("a", "c", 70)]
+    rows += [("late", 3, m, day(60 + i), float(i)) for m in "xybc" for i in range(5)]  # nothing to choose by
+    frame = spark.createDataFrame(rows, "var string, lead int, model string, origin date, loss double")
+    got = {r["var"]: r for r in sg.held_out_tests(frame, ["var", "lead"], "2020-02-10", ["x", "y"], ["b", "c"]).collect()}
+    assert set(got) == set(shift)
+    p = {}
+    for v in shift:
+        keep = np.array([i for i in range(80) if (v, i) != ("a", 70)])
+        early, late = keep[keep < 40], keep[keep >= 40]
+        a, b = (min(g, key=lambda m: loss[v, m][early].mean()) for g in ("xy", "bc"))
+        d = loss[v, a][late] - loss[v, b][late]
+        c, n = d - d.mean(), len(d)
+        var = sum((1 if k == 0 else 2 * (1 - k / 3)) * (c[k:] * c[: n - k]).sum() / n for k in range(3))
+        stat = d.mean() / np.sqrt(var / n) * np.sqrt((n + 1 - 6 + 6 / n) / n)
+        p[v] = numerics.t_two_sided(stat, n - 1)
+        assert (got[v]["candidate"], got[v]["baseline"], got[v]["n_select"], got[v]["n"]) == (a, b, len(early), n)
+        assert got[v]["statistic"] == pytest.approx(stat) and got[v]["p"] == pytest.approx(p[v])
+    worst = 0.0
+    for i, v in enumerate(sorted(p, key=p.get)):
+        worst = max(worst, min(1.0, (3 - i) * p[v]))
+        assert got[v]["p_holm"] == pytest.approx(worst)
+        assert got[v]["verdict"] == ("neither" if worst >= 0.05 else "candidate" if got[v]["mean_diff"] < 0 else "baseline")
+    assert {got["a"]["verdict"], got["z"]["verdict"]} == {"candidate", "baseline"}
+
+
 def test_diebold_mariano_against_numpy(spark):
     rng = np.random.default_rng(3)
     d = rng.normal(0.2, 1, 60)

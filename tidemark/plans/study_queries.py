@@ -333,6 +333,21 @@ def r11_comparators(spark, d):
     return s.groupBy("var", "lead").agg(F.min_by("model", key).alias("best"), F.min_by(F.when(F.col("model") != "climatology", F.col("model")), F.when(F.col("model") != "climatology", key)).alias("best_without"))
 
 
+@query()
+def r10_split_sample_tests(spark, d):
+    """The better simple model of the early origins against climatology on the late ones, with verdicts over all comparisons."""
+    return rounded(sg.held_out_tests(origin_losses(spark, d), COMPARISON, CUT, ["persistence", "seasonal_naive"], ["climatology"]), 6)
+
+
+@query()
+def r11_comparator_tests(spark, d):
+    """Persistence against the comparator that the early origins choose, with and without climatology among the choices."""
+    test = lambda baselines: sg.held_out_tests(origin_losses(spark, d), COMPARISON, CUT, ["persistence"], baselines)
+    every, without = test(["climatology", "seasonal_naive"]), test(["seasonal_naive"])
+    out = every.withColumn("pool", F.lit("all")).unionByName(without.withColumn("pool", F.lit("without climatology")))
+    return rounded(out, 6)
+
+
 @query("select series_id, year(date)::int as year, round(100 * avg((y is not null)::int), 4) coverage from ship where var = 'qty' group by all")
 def r12_coverage(spark, d):
     return ship(spark, d).where(QTY).groupBy("series_id", F.year("date").alias("year")).agg(F.round(100 * F.avg(F.col("y").isNotNull().cast("int")), 4).alias("coverage"))
