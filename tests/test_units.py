@@ -218,6 +218,72 @@ def test_forecaster_contract():
         assert mean.shape == (2, 5) and (np.diff(q, axis=1) >= 0).all()
 
 
+def test_forecasts_of_departures_add_the_climatology_back(spark):
+    """A model that repeats its context's last value, against plain code; a gap at the origin takes the nearest value."""
+
+    class Last:
+        max_context, native_gaps = 730, False
+
+        def predict_batch(self, contexts, horizon):
+            mean = np.array([[c[-1]] * horizon for c in contexts])
+            return mean, mean[:, None, :] + np.arange(-4.0, 5.0)[None, :, None]
+
+    fc.register("last", Last)
+    try:
+        start, end = dt.date(2000, 1, 1), dt.date(2001, 12, 31)
+        days = [start + dt.timedelta(days=i) for i in range(900)]
+        y = {d: 50.0 + 20 * np.sin(i / 58.0) + i % 7 for i, d in enumerate(days)}
+        origin = days[800]
+        gaps = {origin, days[799], days[400]}
+        rows = [("t", "v", "s", d, None if d in gaps else float(y[d])) for d in days]
+        series = spark.createDataFrame(rows, "track string, var string, series_id string, date date, y double")
+        windows = spark.createDataFrame([("t", "v", "s", origin)], "track string, var string, series_id string, origin date")
+        got = {r["lead"]: r for r in fc.on_anomalies(series, windows, end.isoformat(), "last", 3).collect()}
+
+        def ring(d):
+            n = d.timetuple().tm_yday
+            leap = d.year % 4 == 0 and (d.year % 100 != 0 or d.year % 400 == 0)
+            return min(n - (1 if leap and d.month > 2 else 0), 365)
+
+        def usual(d):
+            near = [v for e, v in y.items() if e <= end and e not in gaps and min((ring(e) - ring(d)) % 365, (ring(d) - ring(e)) % 365) <= 15]
+            return np.mean(near)
+
+        away = y[days[798]] - usual(days[798])
+        for h in (1, 2, 3):
+            want = away + usual(origin + dt.timedelta(days=h))
+            assert got[h]["mean"] == pytest.approx(want) and got[h]["q0.1"] == pytest.approx(max(want - 4, 0))
+    finally:
+        del fc.REGISTRY["last"]
+
+
+def test_boosted_features_and_intervals(spark):
+    from tidemark.operators import boosted
+
+    rng = np.random.default_rng(5)
+    days = [dt.date(1996, 1, 1) + dt.timedelta(days=i) for i in range(1700)]
+    rows = [("t", "v", s, d, None if (i + j) % 11 == 0 else float(30 + 5 * j + rng.normal(0, 2))) for j, s in enumerate("ab") for i, d in enumerate(days)]
+    series = spark.createDataFrame(rows, "track string, var string, series_id string, date date, y double").cache()
+    y = {(r[2], r[3]): r[4] for r in rows}
+    known = {(r["series_id"], r["date"]): r for r in boosted.origins(series, "1998-12-31").collect()}
+    table = {(r["series_id"], r["doy"]): r["mean"] for r in ev.climatology_table(series, "1998-12-31").collect()}
+    for s, i in (("a", 1), ("a", 500), ("b", 1001), ("b", 1002)):
+        away = [None if y[s, d] is None else y[s, d] - table[s, d.timetuple().tm_yday - (1 if d.year == 1996 and d.month > 2 else 0)] for d in days[max(i - 29, 0) : i + 1]]
+        week = [x for x in away[-7:] if x is not None]
+        row = known[s, days[i]]
+        assert row["pos"] == i and row["code"] == "ab".index(s)
+        assert row["mean_7"] == pytest.approx(np.mean(week) if week else 0.0)
+        assert row["lag_0"] == pytest.approx(np.mean(week) if away[-1] is None else away[-1])
+        assert row["observed_30"] == pytest.approx(sum(x is not None for x in away) / 30)
+    windows = ev.windows(series, "2000-01-01", "2000-07-31", 3, 7, 365)
+    got = boosted.forecast(series, windows, "1998-12-31", "1999-01-01", "1999-12-31", 3, rounds=2, depth=2).collect()
+    assert len(got) == 3 * windows.count() > 0
+    for r in got:
+        q = [r[n] for n in ev.Q]
+        assert q == sorted(q) and r["mean"] == pytest.approx(q[4])
+        assert abs(r["mean"] - (30 if r["series_id"] == "a" else 35)) < 4
+
+
 def test_distribution_functions():
     assert numerics.nemenyi_difference(18, 16) == pytest.approx(6.584748158039672, rel=1e-9)
     assert numerics.t_two_sided(2.0, 10) == pytest.approx(0.07338803477074037, rel=1e-10)

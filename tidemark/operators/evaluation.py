@@ -60,12 +60,13 @@ def check_windows(windows: DataFrame, start: str, end: str, horizon: int) -> Non
 def contexts(series: DataFrame, windows: DataFrame, length: int) -> DataFrame:
     """As-of slices: the last ``length`` rows up to each origin, as ``context`` in order of date, nulls for gaps.
 
-    A densified series has a row a day, so a slice is a frame of rows; windows meet their slices by key, and no window is multiplied.
+    A series is one array (a row a day, so the calendar bounds it) that its windows take their slices from; windows whose origin isn't a
+    row of the series get none.
     """
-    past = F.collect_list(F.struct("y")).over(by_series().rowsBetween(1 - length, 0))
-    at = windows.select(*KEYS, "origin").withColumn("date", F.col("origin"))
-    sliced = series.select(*KEYS, "date", F.transform(past, lambda x: x["y"]).alias("context"))
-    return sliced.join(at, [*KEYS, "date"]).select(*KEYS, "origin", "context")
+    rows = series.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("date", "y"))).alias("_r"))
+    rows = rows.select(*KEYS, F.col("_r.date").alias("_d"), F.col("_r.y").alias("_y"))
+    at = windows.select(*KEYS, "origin").join(rows, KEYS).withColumn("_p", F.array_position("_d", F.col("origin")).cast("int")).where("_p > 0")
+    return at.select(*KEYS, "origin", F.slice("_y", F.greatest(F.col("_p") - length, F.lit(0)) + 1, F.least(F.col("_p"), F.lit(length))).alias("context"))
 
 
 def targets(windows: DataFrame, horizon: int) -> DataFrame:

@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import ring_day
 from tidemark.functions.numeric import QUANTILE_NAMES, QUANTILES, let
+from tidemark.operators import evaluation as ev
 from tidemark.sources.tracks import KEYS
 
 NORMAL = np.array([-1.2815515655446004, -0.8416212335729143, -0.5244005127080409, -0.2533471031357997, 0.0, 0.2533471031357997, 0.5244005127080409, 0.8416212335729143, 1.2815515655446004])
@@ -155,17 +157,21 @@ def predicted(model: Forecaster, contexts: list[np.ndarray], horizon: int) -> tu
     return answer[0], np.sort(answer[1], axis=1)
 
 
-def forecast(contexts: DataFrame, name: str, horizon: int, length: int = 730, batch: int = 256, non_negative: bool = True) -> DataFrame:
+def forecast(contexts: DataFrame, name: str, horizon: int, length: int = 730, batch: int = 256, non_negative: bool = True, from_first: bool = True) -> DataFrame:
     """Forecasts of a registered model for ``contexts(keys, origin, context)``, in Arrow batches.
 
-    Contexts are cut to ``length`` and the model's own limit, and for models without gaps of their own filled, before they leave the JVM.
+    Contexts are cut to ``length`` and the model's own limit, with ``from_first`` also to what follows their first observed value, and for models
+    without gaps of their own filled, before they leave the JVM. The models are the cost, so contexts are spread over all shuffle partitions
+    however few bytes they are.
     """
     known = load(name)
-    ready = observed_part(F.col("context"), min(length, known.max_context))
+    kind = type(known)  # goes to the workers with the function, whose registry has only this module's models
+    most = min(length, known.max_context)
+    ready = observed_part(F.col("context"), most) if from_first else F.slice("context", F.greatest(F.size("context") - most, F.lit(0)) + 1, F.lit(most))
     ready = ready if known.native_gaps else without_gaps(ready)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load(name)
+        model = kind()
         for frame in frames:
             for i in range(0, len(frame), batch):
                 part = frame.iloc[i : i + batch]
@@ -178,7 +184,22 @@ def forecast(contexts: DataFrame, name: str, horizon: int, length: int = 730, ba
                 yield pd.DataFrame(out)
 
     schema = "track string, var string, series_id string, origin date, lead int, mean double, " + ", ".join(f"`{n}` double" for n in QUANTILE_NAMES)
-    return contexts.select(*KEYS, "origin", ready.alias("ready")).mapInPandas(run, schema)
+    spread = contexts.repartition(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS, "origin")
+    return spread.select(*KEYS, "origin", ready.alias("ready")).mapInPandas(run, schema)
+
+
+def on_anomalies(series: DataFrame, windows: DataFrame, train_end: str, name: str, horizon: int = 30, length: int = 730, non_negative: bool = True) -> DataFrame:
+    """Forecasts of a registered model for what a series departs from its training climatology by, which is added back at the target days.
+
+    A context is the last ``length`` rows up to its origin with gaps filled; one without any value is no departure at all.
+    """
+    usual = ev.climatology_table(series, train_end).select(*KEYS, "doy", F.col("mean").alias("usual"))
+    days = series.withColumn("doy", ring_day("date")).join(usual, [*KEYS, "doy"], "left")
+    contexts = ev.contexts(days.select(*KEYS, "date", (F.col("y") - F.col("usual")).alias("y")), windows, length)
+    away = forecast(contexts, name, horizon, length, non_negative=False, from_first=False)
+    at = away.withColumn("doy", ring_day(F.date_add("origin", F.col("lead")))).join(usual, [*KEYS, "doy"])
+    back = at.withColumns({c: F.col(f"`{c}`") + F.col("usual") for c in ("mean", *QUANTILE_NAMES)})
+    return ev.finished(back, non_negative).select(*ev.FORECAST)
 
 
 # --- gap matching -------------------------------------------------------------------------------------------------

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric as num
 from tidemark.functions import numerics
+from tidemark.operators import boosted
 from tidemark.operators import evaluation as ev
 from tidemark.operators import forecasters as fc
 from tidemark.operators import labels, significance as sg
-from tidemark.operators.panel import by_series
 from tidemark.plans import series_queries as sq
 from tidemark.plans.series_queries import INTEGRITY, KEYS, QTY, TRAIN_END, by_var, rounded, rounded_by_var, scores, ship, sql
 from tidemark.session import kept
@@ -139,10 +139,6 @@ def j11_point_in_polygon(spark, d):
 # --- gap matching and plug-in forecasters -------------------------------------------------------------------------
 
 
-def small_windows(spark, d):
-    return ev.windows(tracks.series(spark, d, "ship_status"), *ev.SPLITS["test"], horizon=7)
-
-
 @query()
 def h13_gap_matching(spark, d):
     """Contexts of the shipping panel with the gaps of other windows' contexts of their variable."""
@@ -155,9 +151,10 @@ def h13_gap_matching(spark, d):
 
 def _plugin(name):
     def run(spark, d) -> DataFrame:
-        s = tracks.series(spark, d, "ship_status")
-        contexts = ev.contexts(s, small_windows(spark, d), 365)
-        return rounded(fc.forecast(contexts, name, 7), 4).withColumnsRenamed({n: f"q_{i}" for i, n in enumerate(ev.Q, 1)})
+        """The shipping panel's departures from its climatology, 30 days ahead from the last 730."""
+        s = ship(spark, d)
+        out = fc.on_anomalies(s, sq.test_windows(s), TRAIN_END, name, sq.H)
+        return rounded(out, 4).withColumnsRenamed({n: f"q_{i}" for i, n in enumerate(ev.Q, 1)})
 
     return run
 
@@ -168,22 +165,10 @@ for _n in fc.REGISTRY:
 
 @query()
 def m8_boosted_trees(spark, d):
-    """One gradient-boosted regressor over all series: lags, trailing means and the season as features, a step ahead."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    from tidemark.functions.calendar import ring_day
-    from tidemark.operators import panel
-
-    s = tracks.series(spark, d, "ship_status")
-    usual = ev.climatology_table(s, TRAIN_END).select(*KEYS, "doy", F.col("mean").alias("usual"))
-    rows = panel.lagged(panel.trailing_means(s)).withColumn("target", F.lead("y", 1).over(by_series())).withColumn("doy", ring_day(F.date_add("date", 1)))
-    rows = rows.join(usual, [*KEYS, "doy"]).withColumns({"sin": F.sin(2 * F.pi() * F.col("doy") / 365), "cos": F.cos(2 * F.pi() * F.col("doy") / 365)})
-    features = [*(f"lag_{k}" for k in range(7)), "mean_7", "mean_30", "mean_90", "observed_30", "sin", "cos", "usual"]
-    full = VectorAssembler(inputCols=features, outputCol="x").transform(rows.dropna(subset=[*features, "target"]).withColumn("val", F.col("date") > F.lit(TRAIN_END).cast("date")))
-    val = ev.SPLITS["val"][1]
-    model = GBTRegressor(featuresCol="x", labelCol="target", maxIter=10, maxDepth=4, seed=1, validationIndicatorCol="val").fit(full.where(F.col("date") <= F.lit(val).cast("date")))
-    return model.transform(full.where(F.col("date") > F.lit(val).cast("date"))).select(*KEYS, "date", "target", F.round("prediction", 4).alias("prediction"))
+    """One gradient-boosted model for each variable over all series and leads of the shipping panel."""
+    s = ship(spark, d)
+    out = boosted.forecast(s, sq.test_windows(s), TRAIN_END, *ev.SPLITS["val"], sq.H)
+    return rounded(out, 4).withColumnsRenamed({n: f"q_{i}" for i, n in enumerate(ev.Q, 1)})
 
 
 # --- statistics ---------------------------------------------------------------------------------------------------
