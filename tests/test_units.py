@@ -284,6 +284,48 @@ def test_boosted_features_and_intervals(spark):
         assert abs(r["mean"] - (30 if r["series_id"] == "a" else 35)) < 4
 
 
+def test_best_pair_tests_against_numpy(spark):
+    rng, rows = np.random.default_rng(8), []
+    for v, shift in {"a": {"x": -0.3, "y": 0.1, "b": 0.0}, "z": {"x": 0.2, "y": 0.4, "b": 0.1}}.items():
+        for m, k in shift.items():
+            for i in range(40):
+                rows += [(v, 7, m, s, dt.date(2020, 1, 1) + dt.timedelta(days=7 * i), float(2 + k + rng.normal(0, 0.2))) for s in "pqrst"]
+    rows.append(("a", 7, "b", "p", dt.date(2022, 1, 1), None))
+    frame = spark.createDataFrame(rows, "var string, lead int, model string, series_id string, origin date, scaled_crps double")
+    got = {r["var"]: r for r in sg.best_pair_tests(frame, ["var", "lead"], ["x", "y"], ["b"]).collect()}
+    p = {}
+    for v in "az":
+        mean = lambda m, unit: {u: np.mean([r[5] for r in rows if r[0] == v and r[2] == m and r[unit] == u and r[5] is not None]) for u in {r[unit] for r in rows if r[5] is not None}}  # noqa: B023, E731
+        c, b = mean("x", 4), mean("b", 4)
+        diff = np.array([c[u] - b[u] for u in sorted(c)])
+        n, e = len(diff), diff - diff.mean()
+        variance = e @ e / n + 2 * sum((1 - k / 7) * (e[k:] @ e[:-k]) / n for k in range(1, 7))
+        stat = diff.mean() / np.sqrt(variance / n) * np.sqrt((n + 1 - 14 + 42 / n) / n)
+        cs, bs = mean("x", 3), mean("b", 3)
+        p[v] = numerics.t_two_sided(stat, n - 1)
+        r = got[v]
+        assert (r["candidate"], r["baseline"], r["n"], r["n_series"]) == ("x", "b", 40, 5)
+        assert (r["statistic"], r["p"]) == (pytest.approx(stat), pytest.approx(p[v]))
+        assert r["wilcoxon_p"] == pytest.approx(numerics.wilcoxon_p(np.array([cs[s] - bs[s] for s in sorted(cs)])))
+    assert got["a"]["verdict"] == "candidate" and got["z"]["verdict"] == ("baseline" if got["z"]["p_holm"] < 0.05 else "neither")
+    assert min(r["p_holm"] for r in got.values()) == pytest.approx(min(1, 2 * min(p.values())))
+
+
+def test_contrast_resamples_its_samples_apart(spark):
+    rng = np.random.default_rng(4)
+    sample = {g: rng.gamma(4, 1, (n, 3)) for g, n in (("a", 30), ("b", 45))}
+    day = lambda i: dt.date(2020, 1, 1) + dt.timedelta(days=i)
+    rows = [("k", g, day(i), *map(float, r)) for g, x in sample.items() for i, r in enumerate(x)]
+    rows += [("only one side", "a", day(0), 1.0, 1.0, 1.0), ("k", "another", day(0), 1.0, 1.0, 1.0)]
+    frame = spark.createDataFrame(rows, "task string, side string, origin date, m double, ref double, ctl double")
+    (got,) = sg.contrast(frame, ["task"], "side", ("a", "b"), ["m", "ref", "ctl"], sg.excess_gap, draws=200, seed=2).collect()
+    skill = lambda x, c: 1 - x[:, c].mean() / x[:, 1].mean()
+    want = lambda a, b: skill(b, 0) - skill(a, 0) - (skill(b, 2) - skill(a, 2))
+    drawn = [want(sample["a"][i], sample["b"][j]) for i, j in zip(sg.resamples(30, 8, 200, 2), sg.resamples(45, 8, 200, 3))]
+    assert got["task"] == "k" and got["estimate"] == pytest.approx(want(sample["a"], sample["b"]))
+    assert (got["low"], got["high"]) == (pytest.approx(np.quantile(drawn, 0.025)), pytest.approx(np.quantile(drawn, 0.975)))
+
+
 def test_distribution_functions():
     assert numerics.nemenyi_difference(18, 16) == pytest.approx(6.584748158039672, rel=1e-9)
     assert numerics.t_two_sided(2.0, 10) == pytest.approx(0.07338803477074037, rel=1e-10)

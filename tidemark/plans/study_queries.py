@@ -188,6 +188,10 @@ def origin_losses(spark, d):
     return kept(spark, ("origin_losses", d), lambda: sg.per_origin(scores(spark, d).where(F.col("lead").isin(1, 7, 30)), ["model", *COMPARISON]))
 
 
+def late_scores(spark, d):
+    return scores(spark, d).where(F.col("lead").isin(1, 7, 30))
+
+
 def differences(spark, d):
     return sg.paired(origin_losses(spark, d), "climatology", "persistence", COMPARISON)
 
@@ -333,6 +337,100 @@ def r11_comparator_tests(spark, d):
     return rounded(out, 6)
 
 
+SIMPLE = ["persistence", "seasonal_naive"]
+
+
+@query()
+def r9_pairwise_tests(spark, d):
+    """Persistence against the better of the other two for each variable and lead."""
+    return rounded(sg.best_pair_tests(late_scores(spark, d), COMPARISON, ["persistence"], ["climatology", "seasonal_naive"]), 9)
+
+
+def against_climatology(losses: DataFrame, by: list[str]) -> DataFrame:
+    """The simple models' losses with climatology's of the same ``by`` and origin as ``reference``."""
+    reference = F.max(F.when(F.col("model") == "climatology", F.col("loss"))).over(Window.partitionBy(*by, "origin"))
+    return losses.withColumn("reference", reference).where(F.col("model").isin(SIMPLE)).dropna(subset=["loss", "reference"])
+
+
+def apart_from_zero(intervals: DataFrame) -> DataFrame:
+    return rounded(intervals.withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0)), 6)
+
+
+@query()
+def r9_skill_intervals(spark, d):
+    """Skill against climatology with block-bootstrap intervals."""
+    out = sg.bootstrap(against_climatology(origin_losses(spark, d), COMPARISON), [*COMPARISON, "model"], ["loss", "reference"], "skill", seed=1)
+    return rounded(out.withColumn("beats_climatology", F.col("low") > 0), 6)
+
+
+@query()
+def r9_equity_intervals(spark, d):
+    """How much more skill persistence gains from the series A* to the series R* than the seasonal control does."""
+    losses = sg.per_origin(late_scores(spark, d).withColumn("grp", F.substring("series_id", 1, 1)), [*COMPARISON, "grp", "model"])
+    columns = ["persistence", "climatology", "seasonal_naive"]
+    return apart_from_zero(sg.contrast(sg.side_by_side(losses, [*COMPARISON, "grp"], columns), COMPARISON, "grp", ("A", "R"), columns, sg.excess_gap, seed=2))
+
+
+@query()
+def r9_source_intervals(spark, d):
+    """Skill on prices less skill on quantities, for each model and lead."""
+    rows = against_climatology(origin_losses(spark, d), COMPARISON)
+    return apart_from_zero(sg.contrast(rows, ["model", "lead"], "var", ("qty", "price"), ["loss", "reference"], sg.skill_gap, seed=4))
+
+
+@query()
+def r9_spell_intervals(spark, d):
+    """Skill in active and break spells, resampled by spell; groups of five spells or more."""
+    spells = labels.events(spell_days(spark, d)).where("spell in ('active', 'break')").select("event", "spell", F.explode(F.sequence("first", "last")).alias("date"))
+    by = [*COMPARISON, "spell"]
+    per = late_scores(spark, d).where("lead > 1").join(spells, "date").groupBy(*by, "model", F.col("event").alias("origin")).agg(F.avg("scaled_crps").alias("loss"))
+    rows = against_climatology(per, by).withColumn("n_events", F.count("*").over(Window.partitionBy(*by, "model"))).where("n_events >= 5")
+    return apart_from_zero(sg.bootstrap(rows, [*by, "model", "n_events"], ["loss", "reference"], "skill", block=1, seed=5))
+
+
+@query()
+def r9_ranks(spark, d):
+    """Average ranks over the tasks of each lead, with Friedman's test and the critical difference."""
+    out = []
+    for lead in (1, 7, 30):
+        f = sg.friedman(task_losses(spark, d).where(F.col("lead") == lead), ["var", "series_id"])
+        out += [(lead, r["model"], r["avg_rank"], r["n_tasks"], r["n_models"], r["chi2"]) for r in f.collect()]  # a row for each model
+    tested = [(*r, numerics.chi2_upper(r[5], r[4] - 1), numerics.nemenyi_difference(r[4], r[3])) for r in out]
+    return rounded(spark.createDataFrame(tested, "lead int, model string, avg_rank double, n_tasks long, n_models int, chi2 double, p double, cd double"), 9)
+
+
+SKILLED = "(select a.*, 1 - a.scrps / b.scrps skill from board a join board b on b.model = 'climatology' and a.track = b.track and a.var = b.var and a.lead = b.lead where a.lead in (1, 7, 30))"
+
+
+def skilled(spark, d):
+    return ev.with_skill(ev.board(late_scores(spark, d), ["track", "var", "lead", "model"]), ["track", "var", "lead"])
+
+
+@query(f"select a.lead, a.model, round(a.skill, 5) qty, round(b.skill, 5) price, round(b.skill - a.skill, 5) difference from {SKILLED} a join {SKILLED} b on a.var = 'qty' and b.var = 'price' and a.lead = b.lead and a.model = b.model")
+def r5_between_sources(spark, d):
+    """Each model's skill on quantities and on prices."""
+    of = lambda v: F.max(F.when(F.col("var") == v, F.col("CRPSS_vs_clim")))
+    s = skilled(spark, d).groupBy("lead", "model").agg(of("qty").alias("qty"), of("price").alias("price")).dropna()
+    return rounded(s.withColumn("difference", F.col("price") - F.col("qty")))
+
+
+@query(f"""select track, var, lead, baseline, round(b_skill, 5) baseline_skill, best, round(m_skill, 5) best_skill, m_loss < b_loss beats_baseline from (
+  select track, var, lead, arg_min(model, (scrps, model)) filter (where model <> 'persistence') baseline, arg_min(skill, (scrps, model)) filter (where model <> 'persistence') b_skill,
+    min(scrps) filter (where model <> 'persistence') b_loss, arg_min(model, (scrps, model)) filter (where model = 'persistence') best,
+    arg_min(skill, (scrps, model)) filter (where model = 'persistence') m_skill, min(scrps) filter (where model = 'persistence') m_loss
+  from {SKILLED} group by all)""")
+def r5_best_against_baseline(spark, d):
+    """For each task the best baseline and the best other model (persistence alone here), and which of them scores lower."""
+    key = F.struct("sCRPS", "model")
+    of = lambda test, value: F.min_by(F.when(test, F.col(value)), F.when(test, key))
+    other = F.col("model") == "persistence"
+    s = skilled(spark, d).groupBy("track", "var", "lead").agg(
+        of(~other, "model").alias("baseline"), of(~other, "CRPSS_vs_clim").alias("baseline_skill"), of(other, "model").alias("best"), of(other, "CRPSS_vs_clim").alias("best_skill"),
+        (of(other, "sCRPS") < of(~other, "sCRPS")).alias("beats_baseline"),
+    )
+    return rounded(s)
+
+
 @query("select series_id, year(date)::int as year, round(100 * avg((y is not null)::int), 4) coverage from ship where var = 'qty' group by all")
 def r12_coverage(spark, d):
     return ship(spark, d).where(QTY).groupBy("series_id", F.year("date").alias("year")).agg(F.round(100 * F.avg(F.col("y").isNotNull().cast("int")), 4).alias("coverage"))
