@@ -326,6 +326,19 @@ def test_contrast_resamples_its_samples_apart(spark):
     assert (got["low"], got["high"]) == (pytest.approx(np.quantile(drawn, 0.025)), pytest.approx(np.quantile(drawn, 0.975)))
 
 
+def test_friedman_by_group_equals_the_test_of_each_group(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, f"t{t}", m, float(rng.integers(0, 4))) for g in (1, 7) for t in range(12) for m in "abcd"] + [(7, "short", "a", 1.0)]
+    frame = spark.createDataFrame(rows, "lead int, task string, model string, loss double")
+    got = {(r["lead"], r["model"]): r for r in sg.friedman_by(frame, ["lead"], ["task"]).collect()}
+    assert len(got) == 8
+    for g in (1, 7):
+        for r in sg.friedman(frame.where(F.col("lead") == g), ["task"]).collect():
+            own = got[g, r["model"]]
+            assert (own["avg_rank"], own["n_tasks"], own["chi2"]) == (pytest.approx(r["avg_rank"]), 12, pytest.approx(r["chi2"]))
+            assert (own["p"], own["cd"]) == (pytest.approx(numerics.chi2_upper(r["chi2"], 3)), pytest.approx(numerics.nemenyi_difference(4, 12)))
+
+
 def test_distribution_functions():
     assert numerics.nemenyi_difference(18, 16) == pytest.approx(6.584748158039672, rel=1e-9)
     assert numerics.t_two_sided(2.0, 10) == pytest.approx(0.07338803477074037, rel=1e-10)

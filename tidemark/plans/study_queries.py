@@ -391,12 +391,7 @@ def r9_spell_intervals(spark, d):
 @query()
 def r9_ranks(spark, d):
     """Average ranks over the tasks of each lead, with Friedman's test and the critical difference."""
-    out = []
-    for lead in (1, 7, 30):
-        f = sg.friedman(task_losses(spark, d).where(F.col("lead") == lead), ["var", "series_id"])
-        out += [(lead, r["model"], r["avg_rank"], r["n_tasks"], r["n_models"], r["chi2"]) for r in f.collect()]  # a row for each model
-    tested = [(*r, numerics.chi2_upper(r[5], r[4] - 1), numerics.nemenyi_difference(r[4], r[3])) for r in out]
-    return rounded(spark.createDataFrame(tested, "lead int, model string, avg_rank double, n_tasks long, n_models int, chi2 double, p double, cd double"), 9)
+    return rounded(sg.friedman_by(task_losses(spark, d), ["lead"], ["var", "series_id"]), 9)
 
 
 SKILLED = "(select a.*, 1 - a.scrps / b.scrps skill from board a join board b on b.model = 'climatology' and a.track = b.track and a.var = b.var and a.lead = b.lead where a.lead in (1, 7, 30))"
